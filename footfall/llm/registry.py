@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from footfall.llm import quality
+from footfall.llm import packing, quality, sharding
 
 QUERIES = {
+    "op2_sampled_splitters": sharding.query,
     "op4_line_frequency": quality.query,
+    "op5_min_slack_packing": packing.query,
 }
 
 ORACLES = {
