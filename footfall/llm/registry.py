@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from footfall.llm import packing, quality, sharding
+from footfall.llm import lm, packing, quality, sharding
 
 QUERIES = {
     "op2_sampled_splitters": sharding.query,
     "op4_line_frequency": quality.query,
     "op5_min_slack_packing": packing.query,
+    "op9_backoff_automaton": lm.query,
 }
 
 ORACLES = {
