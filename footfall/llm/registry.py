@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from footfall.llm import html, lm, packing, pieces, quality, sharding, toxicity
+from footfall.llm import html, jaccard, lm, packing, pieces, quality, sharding, toxicity
 
 QUERIES = {
     "op2_sampled_splitters": sharding.query,
     "op3_piece_viterbi": pieces.query,
     "op4_line_frequency": quality.query,
     "op5_min_slack_packing": packing.query,
+    "op6_ngram_jaccard": jaccard.query,
     "op7_template_classes": html.query,
     "op8_convolution": toxicity.query,
     "op9_backoff_automaton": lm.query,
