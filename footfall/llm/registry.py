@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from footfall.llm import html, jaccard, lm, packing, pieces, quality, sharding, toxicity
+from footfall.llm import html, jaccard, lm, packing, pieces, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op2_sampled_splitters": sharding.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_template_classes": html.query,
     "op8_convolution": toxicity.query,
     "op9_backoff_automaton": lm.query,
+    "op10_transform_merge": repeats.query,
 }
 
 ORACLES = {
