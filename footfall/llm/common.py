@@ -14,24 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    The folder is the one that the session names in spark.checkpoint.dir. Only a
-    local session without the setting (a test) gets a folder of its own.
+    Only a local session without the setting (a test) gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc.getConf().get("spark.checkpoint.dir")
         if found is None and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="footfall-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def partitions(spark: SparkSession, mb: float, each_mb: float = 24.0) -> int:
-    """Partitions for ``mb`` of rows, so that one holds about ``each_mb``; never under the cores."""
-    return max(spark.sparkContext.defaultParallelism, int(mb / each_mb) + 1)
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read on from there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def doc_crc(column: str = "doc_id"):

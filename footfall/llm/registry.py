@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from footfall.llm import html, jaccard, lm, packing, pieces, quality, repeats, sharding, toxicity
+from footfall.llm import chroma, html, jaccard, lm, packing, pieces, quality, repeats, sharding, toxicity
 
 QUERIES = {
+    "op1_chroma_fingerprint": chroma.query,
     "op2_sampled_splitters": sharding.query,
     "op3_piece_viterbi": pieces.query,
     "op4_line_frequency": quality.query,

@@ -303,7 +303,11 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, carry: list[str] | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """Every row's id, its bytes without repeats, and the removed spans (begin and end in bytes); ``carry`` keeps columns."""
+    """Every row's id, its bytes without repeats, and the removed spans (begin and end in bytes); ``carry`` keeps columns.
+
+    Columns: _id, _bytes (of the input), _rest (the bytes left), _clean (these as text, less
+    characters that a removed span cut in two), _begins, _ends.
+    """
     named = [F.col(c) for c in carry or []]
     body = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_x"), *named)
     found = spans(body.select(F.col("_x").alias("x"), F.col("_text").alias("text")), least, hot_bytes)
@@ -335,12 +339,12 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
                 begins.append(a.tolist())
                 ends.append(z.tolist())
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array(np.diff(offsets)), pa.array(rest, pa.binary()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *[b.column(c) for c in names]],
-                names=["_id", "_bytes", "_rest", "_begins", "_ends", *names],
+                [b.column("_id"), pa.array(np.diff(offsets)), pa.array(rest, pa.binary()), pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *[b.column(c) for c in names]],
+                names=["_id", "_bytes", "_rest", "_clean", "_begins", "_ends", *names],
             )
 
     kinds = {f.name: f.dataType.simpleString() for f in body.schema.fields}
-    schema = f"_id {kinds['_id']}, _bytes long, _rest binary, _begins array<long>, _ends array<long>" + "".join(f", `{c}` {kinds[c]}" for c in names)
+    schema = f"_id {kinds['_id']}, _bytes long, _rest binary, _clean string, _begins array<long>, _ends array<long>" + "".join(f", `{c}` {kinds[c]}" for c in names)
     return both.mapInArrow(own, schema)
 
 
