@@ -1,4 +1,6 @@
 """Queries by name, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from footfall.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLES: dict = dict(relational.ORACLES)
