@@ -12,9 +12,9 @@ nest in it by path. What lies between template tokens are slots.
 The article slot is the root element named ``article`` or ``main``, else the innermost root
 element that still holds most of the host's slot text outside menus and the like. Within it,
 elements that are by name no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) are left out, and so is a text block that is
-itself a template token (the same block once on every page of a host with ``TEXT_PAGES`` pages
-or more).
+adverts, forms, scripts, styles, comments) are left out. On a host without article elements, so
+is a text block that is itself a template token (the same block once on every page of a host with
+``TEXT_PAGES`` pages or more); what stands in an article element is never dropped as template.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; a
 page without any article element gives the text outside the excluded elements; repeated rows
@@ -200,7 +200,7 @@ def deduce(tokens: list[dict], pages: int) -> tuple[str, list[int]]:
     blocks = sorted(t["token"] for t in root if t["kind"] == 1) if pages >= TEXT_PAGES else []
     elements = [t for t in root if t["kind"] == 0 and t["chars"]]
     if any(step.partition(".")[0] in _MAIN for t in elements for step in t["path"].split("/")):
-        return "", blocks
+        return "", []
     total = max((t["chars"] for t in elements), default=0)
     inner = [t for t in elements if 10 * t["chars"] >= 7 * total]
     best = max(inner, key=lambda t: (t["path"].count("/"), t["path"]), default=None)
@@ -234,7 +234,7 @@ def main_text(page: str | None, slot: str = "", template: frozenset = frozenset(
     else:
         inside = [b for b in kept if b.main]
     if template:
-        inside = [b for b in inside if _hash("#" + b.path + "#" + b.text) not in template]
+        inside = [b for b in inside if b.main or _hash("#" + b.path + "#" + b.text) not in template]
     return " ".join(b.text for b in (inside or ([] if any(x.main for x in blocks) else kept)))
 
 
