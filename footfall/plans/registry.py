@@ -1,6 +1,6 @@
 """Queries by name, and the SQL that must give the same rows."""
 
-from footfall.plans import relational
+from footfall.plans import kernels, relational
 
-QUERIES: dict = dict(relational.QUERIES)
+QUERIES: dict = relational.QUERIES | kernels.QUERIES
 ORACLES: dict = dict(relational.ORACLES)
