@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a sieve: a bound that holds whatever the rows (8 MB).
+SIEVE_BITS = 26
+
+
+class Sieve:
+    """A bitmap of 64-bit hashes: what it lets through may be in the set, what it stops is not."""
+
+    def __init__(self, keys: DataFrame, column: str):
+        place = F.pmod(F.col(column), F.lit(1 << SIEVE_BITS))
+        words = keys.select(F.shiftright(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64L) AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bits = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+        bits[np.asarray(words.column("w"))] = np.asarray(words.column("b")).view(np.uint64)
+        self.bits = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        h = hashes.view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
+        return (self.bits.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
+
+    def sift(self, rows: DataFrame, column: str, through: bool = True) -> DataFrame:
+        """The rows that the sieve lets through, or those that it stops."""
+
+        def own(batches):
+            for b in batches:
+                keep = self.passes(np.asarray(b.column(column)).astype(np.int64))
+                yield b.filter(pa.array(keep if through else ~keep))
+
+        return rows.mapInArrow(own, rows.schema)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a compressed table in the shared folder and read on from there."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
 def doc_crc(column: str = "doc_id"):
     """CRC-32 of the id's decimal text, the key of the fixed folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

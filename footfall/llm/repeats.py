@@ -19,8 +19,9 @@ Defined results: null text is empty; matches never cross documents; repeated row
 occurrences of each other, so a text of ``least`` bytes or more that stands twice goes
 altogether; extra columns are ignored; an empty table gives an empty result.
 
-Scale: texts are read once for anchors (about one row of 36 bytes per 190 bytes of text) and
-shuffled once to cut out stretches. Buckets have a size in bytes, whatever the input. The stretches
+Scale: texts are read once for anchors (about one row of 36 bytes per 190 bytes of text). Only
+texts that a bitmap of fixed size lets through are shuffled, compressed: once to cut out stretches, once
+to remove spans. Buckets have a size in bytes, whatever the input. The stretches
 of one anchor are only gathered up to ``HOT_BYTES``; beyond that its windows are counted by hash, by
 partial aggregation. Equal texts are worked on once, so a group of copies costs one.
 """
@@ -31,19 +32,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from footfall.llm import textops as T
-from footfall.llm.common import cut, table
+from footfall.llm.common import Sieve, cut, stored, table
 
 LEAST = 400
 GRAM, SYMBOL = 16, 32
 #: Bytes of stretches for each bucket, and most bytes of one anchor's stretches in a bucket.
-BUCKET_BYTES, HOT_BYTES = 12 << 20, 24 << 20
+BUCKET_BYTES, HOT_BYTES = 6 << 20, 12 << 20
+CHUNK = 1 << 20
 SHARDS = 4
-#: Documents with something to remove that are broadcast at most (with their spans).
-BROADCAST_TEXTS, BROADCAST_SPANS = 300_000, 1_500_000
 
 
 def _window_minimum(key: np.ndarray, width: int) -> np.ndarray:
@@ -93,7 +95,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: i
 
 
 def _stretch_rows(docs: DataFrame, least: int) -> DataFrame:
-    """Distinct (text, stretch) with their number of occurrences."""
+    """Stretches of all texts, one row each."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches, most=2 << 20):
@@ -104,8 +106,7 @@ def _stretch_rows(docs: DataFrame, least: int) -> DataFrame:
                 names=["x", "start", "many", "anchor", "mh", "th"],
             )
 
-    rows = docs.filter(F.octet_length("text") >= least).select("x", "text").mapInArrow(own, "x long, start int, many int, anchor int, mh long, th long")
-    return rows.groupBy("x", "start", "many", "anchor", "mh", "th").agg(F.count("*").alias("c"))
+    return docs.filter(F.octet_length("text") >= least).select("x", "text").mapInArrow(T.lean(own), "x long, start int, many int, anchor int, mh long, th long")
 
 
 def _suffix_order(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -181,16 +182,25 @@ def repeated_windows(texts: list[bytes], anchor: np.ndarray, many: np.ndarray, l
     out = np.zeros(int(many.sum()), bool)
     if count < 2:
         return out
-    data = np.frombuffer(b"".join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
-    first = np.cumsum(size) - size
     phase = anchor.astype(np.int64) % symbol
     blocks = np.maximum((size - phase) // symbol, 0)
-    at = T.gather(np.arange(int(blocks.max()) + 1), np.zeros(count, np.int64), blocks) * symbol
+    # hashes are worked out for about CHUNK bytes of texts at a time
+    edges = np.unique(np.append(np.searchsorted(np.cumsum(size), np.arange(0, int(size.sum()), CHUNK)), count))
+    chunks = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+    def chunk(lo: int, hi: int) -> tuple[T.SpanHash, np.ndarray]:
+        return T.SpanHash(T._BYTE[np.frombuffer(b"".join(texts[lo:hi]), np.uint8)]), np.cumsum(size[lo:hi]) - size[lo:hi]
+
+    hashes = []
+    for lo, hi in chunks:
+        span, first = chunk(lo, hi)
+        many_ = blocks[lo:hi]
+        start = np.repeat(first + phase[lo:hi], many_) + T.gather(np.arange(int(many_.max()) + 1), np.zeros(hi - lo, np.int64), many_) * symbol
+        hashes.append(span(start, start + symbol))
     own = np.repeat(np.arange(count), blocks)
-    span = T.SpanHash(T._BYTE[data])
-    start = first[own] + phase[own] + at
-    _, ids = np.unique(span(start, start + symbol), return_inverse=True)
+    _, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+    del hashes
     # one end symbol for each string, greater than all others
     length = blocks + 1
     begin = np.cumsum(length) - length
@@ -213,15 +223,23 @@ def repeated_windows(texts: list[bytes], anchor: np.ndarray, many: np.ndarray, l
     twice = np.zeros(len(symbols), bool)
     twice[suffix] = np.bincount(interval)[interval] > 1
     # the first whole symbol at or after a window's start must begin a repeated interval
-    w_own = np.repeat(np.arange(count), many)
-    w_first = np.cumsum(many) - many
-    w = np.arange(int(many.sum())) - w_first[w_own]
-    j = np.where(w <= phase[w_own], 0, -(-(w - phase[w_own]) // symbol))
-    maybe = np.flatnonzero(twice[np.minimum(begin[w_own] + j, len(symbols) - 1)] & (j < blocks[w_own]))
+    base = np.cumsum(many) - many
+    at, keys = [], []
+    for lo, hi in chunks:
+        span, first = chunk(lo, hi)
+        w_own = np.repeat(np.arange(lo, hi), many[lo:hi])
+        w = np.arange(len(w_own)) - np.repeat(base[lo:hi] - base[lo], many[lo:hi])
+        j = np.maximum(-(-(w - phase[w_own]) // symbol), 0)
+        maybe = np.flatnonzero(twice[np.minimum(begin[w_own] + j, len(symbols) - 1)] & (j < blocks[w_own]))
+        a = first[w_own[maybe] - lo] + w[maybe]
+        at.append(maybe + base[lo])
+        keys.append(span(a, a + least))
+    maybe, keys = np.concatenate(at), np.concatenate(keys)
     if len(maybe):
-        a = first[w_own[maybe]] + w[maybe]
-        _, back, seen = np.unique(span(a, a + least), return_inverse=True, return_counts=True)
-        out[maybe] = seen[back] > 1
+        order = np.argsort(keys, kind="stable")
+        same = keys[order[1:]] == keys[order[:-1]]
+        out[maybe[order[1:][same]]] = True
+        out[maybe[order[:-1][same]]] = True
     return out
 
 
@@ -240,26 +258,27 @@ def _runs(flags: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """x (hash of a text), lo, hi: window runs of each distinct text that stand elsewhere too. ``docs`` has x and text."""
     spark = docs.sparkSession
-    rows = cut(_stretch_rows(docs, least))
-    distinct = rows.groupBy("mh", "th", "many", "anchor").agg(F.sum("c").alias("c"), F.min(F.struct("x", "start")).alias("rep"))
-    distinct = cut(distinct.select("mh", "th", "many", "anchor", "c", F.col("rep.x").alias("x"), F.col("rep.start").alias("start")))
-    met = distinct.groupBy("mh").agg(F.count("*").alias("kinds"), F.sum(F.col("many") + (least - 1)).alias("bytes")).filter("kinds > 1")
-    meet = cut(distinct.join(met, "mh").select("mh", "th", "many", "anchor", "x", "start", (F.col("bytes") > hot_bytes).alias("hot"), F.col("c")))
+    rows = stored(_stretch_rows(docs, least))
+    distinct = rows.groupBy("mh", "th", "many", "anchor").agg(F.count("*").alias("c"), F.min(F.struct("x", "start")).alias("rep"))
+    by_anchor = Window.partitionBy("mh")
+    met = distinct.select("mh", "th", "many", "anchor", "c", "rep.x", "rep.start").withColumns({"kinds": F.count("*").over(by_anchor), "bytes": F.sum(F.col("many") + (least - 1)).over(by_anchor)})
+    met = stored(met.filter("kinds > 1 OR c > 1"))
+    meet = met.filter("kinds > 1").withColumn("hot", F.col("bytes") > hot_bytes)
     total = meet.filter("not hot").agg(F.sum(F.col("many") + (least - 1)).alias("b")).first()["b"] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // bucket_bytes) + 1)
     wanted = meet.groupBy("x").agg(F.collect_list(F.struct("mh", "th", "many", "anchor", "start", "hot")).alias("w"))
-    texts = docs.filter(F.octet_length("text") >= least).select(F.col("x").alias("tx"), "text")
-    both = wanted.join(texts, F.col("x") == F.col("tx")).select("x", "w", "text")
+    texts = Sieve(meet, "x").sift(docs.filter(F.octet_length("text") >= least).select(F.col("x").alias("tx"), "text"), "tx")
+    both = wanted.join(_squeezed(texts, "text"), F.col("x") == F.col("tx")).select("x", "w", "text")
 
     def pieces(hot: bool):
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            before = None
+            before, expand = None, zstandard.ZstdDecompressor().decompress
             for b in batches:
                 for x, w, text in zip(b.column("x").to_pylist(), b.column("w"), b.column("text"), strict=True):
                     if x == before:  # a copy of the text before it
                         continue
                     before = x
-                    raw = text.as_buffer().to_pybytes()
+                    raw = expand(text.as_py())
                     v = w.values
                     start, many = np.asarray(v.field("start")).astype(np.int64), np.asarray(v.field("many")).astype(np.int64)
                     is_hot = np.asarray(v.field("hot").to_numpy(zero_copy_only=False)).astype(bool)
@@ -280,7 +299,7 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
 
         return own
 
-    cutout = both.mapInArrow(pieces(False), "mh long, th long, many int, anchor int, body binary").withColumn("bucket", F.pmod(F.xxhash64("mh"), F.lit(buckets)).cast("int"))
+    cutout = both.mapInArrow(T.lean(pieces(False)), "mh long, th long, many int, anchor int, body binary").withColumn("bucket", F.pmod(F.xxhash64("mh"), F.lit(buckets)).cast("int"))
 
     def bucket(t: pa.Table) -> pa.Table:
         mh, th = np.asarray(t.column("mh")), np.asarray(t.column("th"))
@@ -291,15 +310,32 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
         row, lo, hi = _runs(repeated_windows(t.column("body").to_pylist(), np.asarray(t.column("anchor")), many, least), many)
         return pa.table({"mh": t.column("mh").take(pa.array(row)), "th": t.column("th").take(pa.array(row)), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32())})
 
-    decided = cutout.groupBy("bucket").applyInArrow(bucket, "mh long, th long, lo int, hi int")
+    decided = cutout.groupBy("bucket").applyInArrow(T.lean_group(bucket), "mh long, th long, lo int, hi int")
     if meet.filter("hot").limit(1).count():
-        windows = both.mapInArrow(pieces(True), "mh long, th long, at int, wh long").groupBy("mh", "th", "at", "wh").agg(F.lit(1).alias("one"))
+        windows = both.mapInArrow(T.lean(pieces(True)), "mh long, th long, at int, wh long").groupBy("mh", "th", "at", "wh").agg(F.lit(1).alias("one"))
         twice = windows.groupBy("wh").agg(F.count("*").alias("n")).filter("n > 1").select("wh")
         decided = decided.unionByName(windows.join(twice, "wh").select("mh", "th", F.col("at").alias("lo"), F.col("at").alias("hi")))
     # a stretch that stands twice is repeated as a whole
-    whole = distinct.filter("c > 1").select("mh", "th", F.lit(0).alias("lo"), (F.col("many") - 1).alias("hi"))
-    verdict = cut(decided.join(whole.select("mh", "th"), ["mh", "th"], "left_anti").select("mh", "th", "lo", "hi").unionByName(whole))
-    return rows.join(verdict, ["mh", "th"]).select("x", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi"))
+    whole = met.filter("c > 1").select("mh", "th", F.lit(0).alias("lo"), (F.col("many") - 1).alias("hi"))
+    verdict = stored(decided.join(whole.select("mh", "th"), ["mh", "th"], "left_anti").select("mh", "th", "lo", "hi").unionByName(whole))
+    places = Sieve(verdict, "th").sift(rows.select("x", "start", "mh", "th"), "th")
+    return places.join(verdict, ["mh", "th"]).select("x", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).distinct()
+
+
+def _squeezed(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with the text column as compressed bytes, for a shuffle."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for b in T.slices(batches, text):
+            at = b.schema.get_field_index(text)
+            data, offsets = T.buffer_of(b.column(at))
+            raw = data.tobytes()
+            small = pa.array([squeeze(raw[i:j]) for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if k == at else b.column(k) for k in range(b.num_columns)], names=b.schema.names)
+
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == text else f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(T.lean(own), kinds)
 
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, carry: list[str] | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -312,40 +348,49 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     body = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_x"), *named)
     found = spans(body.select(F.col("_x").alias("x"), F.col("_text").alias("text")), least, hot_bytes)
     by_text = cut(found.groupBy(F.col("x").alias("_sx")).agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")))
-    size = by_text.agg(F.count("*").alias("n"), F.sum(F.size("_lo")).alias("m")).first()
-    side = F.broadcast(by_text) if size["n"] <= BROADCAST_TEXTS and (size["m"] or 0) <= BROADCAST_SPANS else by_text
-    both = body.join(side, F.col("_x") == F.col("_sx"), "left").drop("_x", "_sx")
+    sieve = Sieve(by_text, "_sx")
+    hit = _squeezed(sieve.sift(body, "_x"), "_text").join(by_text, F.col("_x") == F.col("_sx"), "left").drop("_x", "_sx")
+    rest = sieve.sift(body, "_x", through=False).drop("_x").withColumns({"_lo": F.lit(None).cast("array<int>"), "_hi": F.lit(None).cast("array<int>")})
     names = list(carry or [])
 
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches, "_text"):
-            rest, begins, ends = [], [], []
-            data, offsets = T.buffer_of(b.column("_text"))
-            raw = data.tobytes()
-            for i, (lo, hi) in enumerate(zip(b.column("_lo").to_pylist(), b.column("_hi").to_pylist(), strict=True)):
-                body = raw[offsets[i] : offsets[i + 1]]
-                if not lo:
-                    rest.append(body)
-                    begins.append([])
-                    ends.append([])
-                    continue
-                lo, hi = np.array(lo, np.int64), np.array(hi, np.int64) + least
-                order = np.argsort(lo, kind="stable")
-                lo, hi = lo[order], np.maximum.accumulate(hi[order])
-                new = np.concatenate([[True], lo[1:] > hi[:-1]])
-                a, z = lo[new], hi[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
-                edges = [0, *np.stack([a, z], 1).ravel().tolist(), len(body)]
-                rest.append(b"".join(body[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)))
-                begins.append(a.tolist())
-                ends.append(z.tolist())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), pa.array(np.diff(offsets)), pa.array(rest, pa.binary()), pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *[b.column(c) for c in names]],
-                names=["_id", "_bytes", "_rest", "_clean", "_begins", "_ends", *names],
-            )
+    def cutter(squeezed: bool):
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            expand = zstandard.ZstdDecompressor().decompress
+            for b in T.slices(batches, "_text"):
+                rest, begins, ends, size = [], [], [], []
+                data, offsets = T.buffer_of(b.column(b.schema.get_field_index("_text")))
+                raw = data.tobytes()
+                for i, (lo, hi) in enumerate(zip(b.column("_lo").to_pylist(), b.column("_hi").to_pylist(), strict=True)):
+                    body = raw[offsets[i] : offsets[i + 1]]
+                    body = expand(body) if squeezed else body
+                    size.append(len(body))
+                    left, a, z = _without(body, lo or (), hi or (), least)
+                    rest.append(left)
+                    begins.append(a)
+                    ends.append(z)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("_id"), pa.array(size, pa.int64()), pa.array(rest, pa.binary()), pa.array([r.decode("utf-8", "ignore") for r in rest], pa.string()), pa.array(begins, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), *[b.column(c) for c in names]],
+                    names=["_id", "_bytes", "_rest", "_clean", "_begins", "_ends", *names],
+                )
+
+        return own
 
     kinds = {f.name: f.dataType.simpleString() for f in body.schema.fields}
     schema = f"_id {kinds['_id']}, _bytes long, _rest binary, _clean string, _begins array<long>, _ends array<long>" + "".join(f", `{c}` {kinds[c]}" for c in names)
-    return both.mapInArrow(own, schema)
+    return hit.mapInArrow(T.lean(cutter(True)), schema).unionByName(rest.select(*hit.columns).mapInArrow(T.lean(cutter(False)), schema))
+
+
+def _without(body: bytes, lo, hi, least: int) -> tuple[bytes, list[int], list[int]]:
+    """The bytes outside all window runs lo to hi, and the removed spans."""
+    if not len(lo):
+        return body, [], []
+    lo, hi = np.array(lo, np.int64), np.array(hi, np.int64) + least
+    order = np.argsort(lo, kind="stable")
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    new = np.concatenate([[True], lo[1:] > hi[:-1]])
+    a, z = lo[new], hi[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
+    edges = [0, *np.stack([a, z], 1).ravel().tolist(), len(body)]
+    return b"".join(body[p:q] for p, q in zip(edges[::2], edges[1::2], strict=True)), a.tolist(), z.tolist()
 
 
 def query(spark, sf_dir: str) -> DataFrame:
