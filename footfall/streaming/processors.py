@@ -133,9 +133,13 @@ def common_paths(points: DataFrame, s: Settings, engine: str, make=None, ttl_ms:
     return _run(points, KEY[:2], PathProcessor(s, engine, make), ttl_ms)
 
 
+#: Event times start a day after the epoch, as a stream's first watermark is the epoch itself.
+DAY = 86400
+
+
 def deduplicated(points: DataFrame, delay: str = "10 seconds") -> DataFrame:
     """Points with event time ``ts``, each (session, track, frame) once within the watermark."""
-    timed = points.withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")))
+    timed = points.withColumn("ts", F.timestamp_micros(((F.col("timestamp") + DAY) * 1_000_000).cast("bigint")))
     return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark([*KEY, "frame_id"])
 
 
@@ -143,17 +147,17 @@ def crowd_timeline(points: DataFrame, s: Settings, every: str = "1 second") -> D
     """Observations and distinct cells in use per tumbling window, by watermark."""
     cell = grid_cell(F.col("x"), F.col("y"), s.width, s.height, s.grid_width, s.grid_height)
     w = deduplicated(points).withColumn("cell", cell).groupBy(F.window("ts", every), "camera_id").agg(F.count("*").alias("observations"), F.approx_count_distinct("track_id").alias("people"), F.approx_count_distinct("cell").alias("cells"))
-    return w.select(F.unix_seconds("window.start").alias("second"), "camera_id", "observations", "people", "cells")
+    return w.select((F.unix_seconds("window.start") - DAY).alias("second"), "camera_id", "observations", "people", "cells")
 
 
 def cell_counts(points: DataFrame, s: Settings, span: str = "10 seconds", slide: str = "1 second") -> DataFrame:
     """Observations per cell over a sliding window."""
     cell = grid_cell(F.col("x"), F.col("y"), s.width, s.height, s.grid_width, s.grid_height)
     w = deduplicated(points).withColumn("cell", cell).filter("cell is not null")
-    return w.groupBy(F.window("ts", span, slide), "cell.row", "cell.col").agg(F.count("*").alias("observations")).select(F.unix_seconds("window.end").alias("second"), "row", "col", "observations")
+    return w.groupBy(F.window("ts", span, slide), "cell.row", "cell.col").agg(F.count("*").alias("observations")).select((F.unix_seconds("window.end") - DAY).alias("second"), "row", "col", "observations")
 
 
 def visits(points: DataFrame, idle: str = "15 seconds") -> DataFrame:
     """Stays of each track as session windows that an idle time ends."""
     w = deduplicated(points).groupBy(F.session_window("ts", idle), *KEY).agg(F.count("*").alias("points"))
-    return w.select(*KEY, F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), "points")
+    return w.select(*KEY, (F.unix_micros("session_window.start") - DAY * 1_000_000).alias("start_us"), (F.unix_micros("session_window.end") - DAY * 1_000_000).alias("end_us"), "points")

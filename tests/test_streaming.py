@@ -14,7 +14,7 @@ S = Settings()
 @pytest.fixture
 def stream(spark, tmp_path):
     """The points as a file stream of several micro-batches in event order."""
-    p = adapter.points(spark, DATA)
+    p = adapter.frames(adapter.points(spark, DATA)).withColumn("frame_id", F.col("frame")).withColumn("timestamp", F.col("frame") / 25.0).drop("frame")
     cut = [(F.col("timestamp") >= a) & (F.col("timestamp") < a + 25) for a in (0, 25, 50)]
     for k, c in enumerate(cut):
         p.filter(c).coalesce(1).write.parquet(str(tmp_path / f"in/batch={k}"))
@@ -54,7 +54,7 @@ def test_smoothing_equals_batch(stream):
 def test_paths_equal_batch(stream):
     src, p, run = stream
     make = lambda s: E.LiveFlow(s.width, s.height, E.FlowRules(columns=4, rows=2, look_back=(0.3, 3.0), history=4.0, least_tracks=1, confirm=0.5))
-    f = p.withColumn("frame", F.col("timestamp") * S.fps)
+    f = p.withColumn("frame", F.col("frame_id"))
     whole = stateful.common_paths(f, "dominant_live_flow", S, changes=True, make=make)
     live = run(P.common_paths(src, S, "dominant_live_flow", make))
     cols = ["path_id", "state", "direction"]
