@@ -101,3 +101,10 @@ def shadow_common_paths(spark, d):
 @query("ddcrp_paths")
 def ddcrp_paths(spark, d):
     return O.linked_paths(adapter.points(spark, d), S).withColumn("line", F.to_json("line")).drop("camera_id", "stream_epoch")
+
+
+@query("scan_schedule")
+def scan_schedule(spark, d):
+    from footfall.operators import detections
+
+    return detections.scan_schedule(_frames(spark, d), 3)

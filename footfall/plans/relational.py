@@ -449,3 +449,45 @@ def direction_change_counts(spark, d):
     from footfall.functions.geometry import compass
 
     return steps.steps(_points(spark, d)).filter(steps.is_move(S)).groupBy(compass(F.col("dx"), F.col("dy")).alias("direction")).agg(F.count("*").alias("steps"))
+
+
+# ---- detections and decisions --------------------------------------------------------------
+@query("ignore_region_filter", f"WITH {_FRAMES} SELECT track_id, count(*) AS boxes FROM f WHERE NOT (x/200 BETWEEN 0.1 AND 0.2 AND (y - 12)/100 BETWEEN 0.0 AND 0.5) AND NOT (x/200 BETWEEN 0.0 AND 0.05 AND (y - 12)/100 BETWEEN 0.5 AND 1.0) GROUP BY 1")
+def ignore_region_filter(spark, d):
+    from footfall.operators import detections
+
+    kept = detections.outside(adapter.boxes(_frames(spark, d)), [(0.1, 0.0, 0.2, 0.5), (0.0, 0.5, 0.05, 1.0)], S.width, S.height)
+    return kept.groupBy("track_id").agg(F.count("*").alias("boxes"))
+
+
+@query("candidate_funnel", f"WITH {_ST}, r AS (SELECT track_id, CASE WHEN dt IS NULL THEN 'RAW_ID_START' WHEN dt > 2 THEN 'OBSERVATION_GAP' ELSE 'JUMP_THRESHOLD' END AS reason FROM st WHERE dt IS NULL OR dt > 2 OR dist > 80) SELECT reason, count(*) AS rows, count(DISTINCT track_id) AS tracks, round(count(*) / (SELECT count(*) FROM r)::DOUBLE, 6) AS share FROM r GROUP BY 1")
+def candidate_funnel(spark, d):
+    from footfall.operators import detections
+
+    return detections.funnel(summary.cut_reasons(_points(spark, d), 2.0, 80.0))
+
+
+@query("confidence_bands", f"WITH {_P}, b AS (SELECT CASE WHEN y / 100 >= 0.5 THEN 'high' WHEN y / 100 >= 0.1 THEN 'low' ELSE 'dropped' END AS band FROM p) SELECT band, count(*) AS boxes FROM b GROUP BY 1")
+def confidence_bands(spark, d):
+    from footfall.operators import detections
+
+    return _points(spark, d).withColumn("confidence", F.col("y") / 100).groupBy(detections.confidence_band(0.5, 0.1).alias("band")).agg(F.count("*").alias("boxes"))
+
+
+@query("zone_switches", f"WITH {_P}, z AS (SELECT timestamp, coalesce({_ZONE}, 'outside') AS path_id, lag(coalesce({_ZONE}, 'outside')) OVER (ORDER BY timestamp) AS b FROM p WHERE track_id = 0), a AS (SELECT min(timestamp) AS f, max(timestamp) AS l, count(*) FILTER (WHERE b <> path_id) AS n FROM z) SELECT round(f, 6) AS first_active, n AS switches, round(n / greatest((l - f) / 60, 1/60::DOUBLE), 6) AS per_minute FROM a")
+def zone_switches(spark, d):
+    from footfall.operators import detections
+
+    t = zones.tagged(_points(spark, d).filter("track_id = 0"), adapter.ZONES).withColumn("path_id", F.coalesce("zone_id", F.lit("outside")))
+    return detections.switches(t).select(F.round("first_active", 6).alias("first_active"), "switches", "per_minute")
+
+
+@query(
+    "adjacent_overlap",
+    f"""WITH {_FRAMES}, j AS (SELECT greatest(0, 12 - abs(a.x - b.x)) * greatest(0, 24 - abs(a.y - b.y)) AS i FROM f a JOIN f b ON a.track_id = b.track_id AND b.frame = a.frame + 1)
+    SELECT count(*) AS pairs, count(*) FILTER (WHERE i / (576 - i) >= 0.3) AS overlapping, round(avg(i / (576 - i)), 6) AS mean_overlap FROM j""",
+)
+def adjacent_overlap(spark, d):
+    from footfall.operators import detections
+
+    return detections.adjacent_overlap(adapter.boxes(_frames(spark, d)))
