@@ -12,7 +12,7 @@ blocks of similar size; only blocks in reach of a set's size are opened, and an
 passed over if too few tokens lie ahead of its position. A pivot of each list is compared with
 the list's members first. Members that link to the pivot have its answers: they are in one
 group, and no pair among them is compared any more (answer-level skipping). Later rounds
-draw other pivots for members of other groups; in the end the pairs that still cross groups are
+draw other pivots, from each list's largest group, for the members outside it; in the end the pairs that still cross groups are
 compared one by one, less those that the distances to a common pivot rule out (the
 Jaccard distance obeys the triangle inequality). So every pair that could join two groups is
 either compared or ruled out, and groups are exact.
@@ -35,15 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from footfall.llm import textops as T
 from footfall.llm.common import cut, table
 
 WIDTH, PERCENT = 5, 75
-#: Rounds of pivots before the pairs left over are compared.
-ROUNDS = 3
+#: Most rounds of pivots, and pivots that a set is compared with in one round.
+ROUNDS, PIVOTS = 14, 2
+#: The rounds end early once no more pairs than this, for each index entry, cross groups, or
+#: once a round adds no more than this share of the links.
+PAIRS_EACH, LEAST_GAIN = 1, 0.02
 #: Shingles that one counting bucket should hold.
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS = 1_000_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -80,7 +84,7 @@ def classes(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
             key, at = _sets(b.column("text"), width)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_signs(key, at).view(np.int64)), pa.array(np.diff(at), pa.int64())], names=["doc_id", "sid", "n"])
 
-    return src.mapInArrow(own, "doc_id long, sid long, n long")
+    return src.mapInArrow(T.lean(own), "doc_id long, sid long, n long")
 
 
 def _flat(column, kind) -> np.ndarray:
@@ -92,7 +96,7 @@ def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, per
     src = docs.select(F.col(text).alias("text"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in T.slices(batches, most=6 << 20):
+        for b in T.slices(batches):
             key, at = _sets(b.column("text"), width)
             sign = _signs(key, at)
             size = np.diff(at)
@@ -184,9 +188,9 @@ def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, per
         ends = np.append(at[1:], len(sid))
         return pa.table({"sid": pa.array(sid[at].view(np.int64)), "n": pa.array(size[at], pa.int64()), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
-    blobs = src.mapInArrow(emit, "bucket int, sids binary, ns binary, own binary, low binary, high binary")
-    counted = blobs.groupBy("bucket").applyInArrow(count, "part int, sids binary, ns binary, own binary, tokens binary, ranks binary")
-    return counted.groupBy("part").applyInArrow(gather, "sid long, n long, tokens binary")
+    blobs = src.mapInArrow(T.lean(emit), "bucket int, sids binary, ns binary, own binary, low binary, high binary")
+    counted = blobs.groupBy("bucket").applyInArrow(T.lean_group(count), "part int, sids binary, ns binary, own binary, tokens binary, ranks binary")
+    return counted.groupBy("part").applyInArrow(T.lean_group(gather), "sid long, n long, tokens binary")
 
 
 def index(sets: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +211,7 @@ def index(sets: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
             yield pa.RecordBatch.from_arrays([pa.array(flat[first[row] + place]), b.column("sid").take(pa.array(row)), pa.array(n[row]), pa.array(have[row] - place, pa.int64())], names=["token", "sid", "n", "left"])
 
-    return sets.mapInArrow(own, "token long, sid long, n long, left long")
+    return sets.mapInArrow(T.lean(own), "token long, sid long, n long, left long")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -229,12 +233,45 @@ def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out[i] = int((kept[at] == other).sum())
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("n_a"), b.column("n_b"), pa.array(out)], names=["a", "b", "n_a", "n_b", "inter"])
 
-    return both.mapInArrow(own, "a long, b long, n_a long, n_b long, inter long")
+    return both.mapInArrow(T.lean(own), "a long, b long, n_a long, n_b long, inter long")
+
+
+#: Links that one task may group on its own (16 bytes each); more are grouped by rounds of joins.
+LOCAL_LINKS = 1_000_000
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and root (the least node of its component), by alternating large and small stars."""
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least node of each node's component, by hooking and pointer jumping."""
+    got = [(np.asarray(b.column("u")), np.asarray(b.column("v"))) for b in batches]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        a, b = root[u], root[v]
+        low = np.minimum(a, b)
+        if (a == b).all():
+            break
+        np.minimum.at(root, a, low)
+        np.minimum.at(root, b, low)
+        while (root != root[root]).any():
+            root = root[root]
+    keep = root != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[root[keep]])], names=["node", "root"])
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The rows in fewer partitions: tables of links are small beside the index they come from."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
+
+
+def components(edges: DataFrame, rounds: int = 40, local: int = LOCAL_LINKS) -> DataFrame:
+    """node and root (the least node of its component) of all nodes that are no roots."""
+    now = cut(few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()))
+    if now.count() <= local:
+        return now.coalesce(1).mapInArrow(T.lean(_grouped), "node long, root long")
 
     def large(e: DataFrame) -> DataFrame:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -256,63 +293,73 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+def links(sets: DataFrame, percent: int = PERCENT, rounds: int = ROUNDS, local: int = LOCAL_LINKS) -> DataFrame:
     """Group (root) of every set id that links with another: sid, root."""
     spark = sets.sparkSession
-    entries = index(sets, percent)
-    lists = entries.groupBy("token").agg(F.count("*").alias("long")).filter("long > 1")
-    entries = cut(entries.join(lists, "token").select("token", "sid", "n", "left"))
     reach = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
     linked = (100 + percent) * F.col("inter") >= percent * (F.col("n_a") + F.col("n_b"))
     # seen from a pair's first common token, no more than what lies ahead in both can be common
     ahead = F.least("left", "pl") * F.lit(100 + percent) >= percent * (F.col("n") + F.col("m"))
     # sizes in reach of each other lie in the same block or in neighbouring ones
     block = F.floor(F.log(F.col("n")) / F.log(F.lit(100.5 / percent))).cast("int")
-    done = None
-    found = spark.createDataFrame([], "u long, v long")
+    entries = index(sets, percent)
+    lists = entries.groupBy("token").agg(F.count("*").alias("long")).filter("long > 1")
+    entries = entries.join(lists, "token").select("token", "sid", "n", "left", F.col("sid").alias("root"))
+    done = cut(spark.createDataFrame([], "a long, b long, n_a long, n_b long, inter long"))
+    found = cut(spark.createDataFrame([], "u long, v long"))
     groups = None
 
-    def grouped(e: DataFrame) -> DataFrame:
-        if groups is None:
-            return e.withColumn("root", F.col("sid"))
-        return e.join(groups.withColumnRenamed("root", "g"), F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("g", "sid")).drop("node", "g")
+    def settled(e: DataFrame) -> DataFrame:
+        """Entries of the lists that still hold several groups, with the list's largest one."""
+        sizes = e.groupBy("token", "root").agg(F.count("*").alias("c"))
+        top = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("many"), F.sum("c").alias("total")).filter("many > 1")
+        return cut(e.join(top.select("token", F.col("x.root").alias("top"), "total"), "token").select("token", "sid", "n", "left", "root", "top", "total"))
+
+    def answered(got: DataFrame) -> None:
+        nonlocal found, groups
+        found = cut(few(found.unionByName(got.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))))
+        groups = cut(few(_with_roots(components(found, local=local))))
 
+    open_, all_, links_ = settled(entries), None, 0
     for k in range(rounds):
-        now = grouped(entries)
-        order = F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), F.col("sid").alias("p"), F.col("root").alias("pr"), F.col("n").alias("m"), F.col("left").alias("pl"))
-        pivots = now.groupBy("token").agg(F.min(order).alias("x")).select(F.col("token").alias("pt"), "x.p", "x.pr", "x.m", "x.pl")
-        pairs = now.join(pivots, F.col("token") == F.col("pt")).filter((F.col("root") != F.col("pr")) & reach(F.col("n"), F.col("m")) & ahead)
-        # one pivot for each member in a round: the one that leads most of its lists
-        best = pairs.groupBy("sid", "p").agg(F.count("*").alias("c")).groupBy("sid").agg(F.max(F.struct("c", "p")).alias("x")).select(F.col("x.p").alias("a"), F.col("sid").alias("b"))
-        if done is not None:
-            best = best.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        state = open_.agg(F.count("*").alias("n"), F.sum(F.when(F.col("root") != F.col("top"), F.col("total")).otherwise(0)).alias("pairs")).first()
+        all_ = all_ or state["n"]
+        if not state["n"] or (k and state["pairs"] <= PAIRS_EACH * all_):
+            break
+        pivots = open_.filter("root = top").groupBy(F.col("token").alias("pt")).agg(F.min(F.struct(F.xxhash64("sid", F.lit(k)).alias("h"), F.col("sid").alias("p"), F.col("n").alias("m"), F.col("left").alias("pl"))).alias("x")).select("pt", "x.p", "x.m", "x.pl")
+        pairs = open_.filter("root <> top").join(pivots, F.col("token") == F.col("pt")).filter(reach(F.col("n"), F.col("m")) & ahead)
+        pairs = pairs.groupBy("sid", "p").agg(F.count("*").alias("c")).join(done.select(F.col("a").alias("p"), F.col("b").alias("sid")), ["p", "sid"], "left_anti")
+        # the pivots that lead most of a member's lists
+        best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "p"))).filter(F.col("r") <= PIVOTS).select(F.col("p").alias("a"), F.col("sid").alias("b"))
         got = cut(compare(best, sets))
         if got.isEmpty():
             break
-        done = got if done is None else done.unionByName(got)
-        found = found.unionByName(got.filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        groups = cut(_with_roots(components(found)))
+        done = cut(few(done.unionByName(got)))
+        new = got.filter(linked).count()
+        links_ += new
+        if new:
+            answered(got)
+        if groups is None:
+            break
+        now = open_.select("token", "sid", "n", "left").join(groups, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "left", F.coalesce("root", "sid").alias("root"))
+        open_ = settled(now)
+        if new <= LEAST_GAIN * links_:
+            break
     # what still crosses groups: all entries but those of a list's largest group probe the list
-    now = cut(grouped(entries))
-    sizes = now.groupBy("token", "root").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("x"), F.count("*").alias("many")).filter("many > 1").select("token", F.col("x.root").alias("top"))
-    open_ = cut(now.join(top, "token").withColumn("block", block))
+    open_ = open_.withColumn("block", block)
     probe = open_.filter("root <> top").select("token", F.col("sid").alias("p"), F.col("root").alias("pr"), F.col("n").alias("m"), F.col("left").alias("pl"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     once = (F.col("root") == F.col("top")) | (F.col("sid") < F.col("p"))
     cross = open_.join(probe, ["token", "block"]).filter((F.col("root") != F.col("pr")) & once & reach(F.col("n"), F.col("m")) & ahead)
     pairs = cross.select(F.least("sid", "p").alias("a"), F.greatest("sid", "p").alias("b")).distinct()
-    if done is not None:
-        seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        # distances to a common pivot: |d(x, p) - d(y, p)| <= d(x, y)
-        d = done.select(F.col("a").alias("pivot"), F.col("b").alias("s"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("d")).groupBy("s").agg(F.max(F.struct("pivot", "d")).alias("x")).select("s", "x.pivot", "x.d")
-        x, y = d.select(F.col("s").alias("a"), F.col("pivot").alias("qa"), F.col("d").alias("da")), d.select(F.col("s").alias("b"), F.col("pivot").alias("qb"), F.col("d").alias("db"))
-        far = (F.col("qa") == F.col("qb")) & (F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9)
-        pairs = pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(far, F.lit(False))).select("a", "b")
-    got = cut(compare(pairs, sets)).filter(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    # distances to a common pivot: |d(x, p) - d(y, p)| <= d(x, y)
+    d = done.select(F.col("a").alias("pivot"), F.col("b").alias("s"), (1 - F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))).alias("d")).groupBy("s").agg(F.max(F.struct("pivot", "d")).alias("x")).select("s", "x.pivot", "x.d")
+    x, y = d.select(F.col("s").alias("a"), F.col("pivot").alias("qa"), F.col("d").alias("da")), d.select(F.col("s").alias("b"), F.col("pivot").alias("qb"), F.col("d").alias("db"))
+    far = (F.col("qa") == F.col("qb")) & (F.abs(F.col("da") - F.col("db")) > 1 - percent / 100 + 1e-9)
+    pairs = pairs.join(x, "a", "left").join(y, "b", "left").filter(~F.coalesce(far, F.lit(False))).select("a", "b")
+    got = cut(compare(pairs, sets))
     if not got.isEmpty():
-        found = found.unionByName(got)
-        groups = _with_roots(components(found))
+        answered(got)
     if groups is None:
         groups = spark.createDataFrame([], "node long, root long")
     return groups.select(F.col("node").alias("sid"), "root")
@@ -322,14 +369,14 @@ def _with_roots(stars: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, local: int = LOCAL_LINKS) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; ids are whole numbers."""
     own = cut(classes(docs, doc, text, width))
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
     spark = docs.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_ROWS) + 1)
     sets = cut(shared(docs, text, width, buckets, buckets, percent))
-    roots = links(sets, percent)
+    roots = links(sets, percent, local=local)
     grouped = own.join(roots.withColumnRenamed("sid", "r_sid"), F.col("sid") == F.col("r_sid"), "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = grouped.filter("g is not null").groupBy(F.col("g").alias("l_g")).agg(F.min("doc_id").alias("least"))
     out = grouped.join(least, F.col("g") == F.col("l_g"), "left")

@@ -52,8 +52,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, s, 1, "c") for d, t, s in rows], "doc_id long, text string, source string, n int, kept string").repartition(7)
 
 
-def test_jaccard_groups_match_brute_force(spark, corpus):
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, corpus)).collect())
+@pytest.mark.parametrize("local", [jaccard.LOCAL_LINKS, 0])
+def test_jaccard_groups_match_brute_force(spark, corpus, local):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, corpus), local=local).collect())
     sets = []
     for _, t, _ in corpus:
         w = WORDS.findall(lower(t or ""))
