@@ -415,14 +415,16 @@ en AS (SELECT track_id, min(timestamp) AS t0, max(timestamp) AS t1, arg_min_null
 
 @query(
     "id_switch_suspects",
-    f"""WITH {_P.replace("user_id AS track_id", "user_id * 1000 + event_id // 1000 AS track_id")},{_ENDS.partition(",")[2].partition("FROM events),")[2]},
+    f"""WITH {_P.replace("user_id AS track_id", f"user_id * 1000 + floor((epoch_us(ts) - {adapter.EPOCH_US}) / {float(adapter.US_PER_SECOND)}::DOUBLE / 7.2)::BIGINT AS track_id")},{_ENDS.partition(",")[2].partition("FROM events),")[2]},
     j AS (SELECT a.track_id AS from_track, b.track_id AS to_track, sqrt((b.x0-a.x1)*(b.x0-a.x1)+(b.y0-a.y1)*(b.y0-a.y1)) AS dd, b.t0 - a.t1 AS gap,
       sqrt(a.vx*a.vx+a.vy*a.vy) * sqrt(b.ux*b.ux+b.uy*b.uy) AS nn, a.vx*b.ux+a.vy*b.uy AS dot FROM en a JOIN en b ON a.track_id <> b.track_id AND b.t0 > a.t1 AND b.t0 - a.t1 <= 0.64)
-    SELECT from_track, to_track, round(dd, 6) AS distance, round(dd + 40 * gap, 6) AS cost FROM j WHERE dd <= 80 AND coalesce(CASE WHEN nn > 0 THEN dot / nn ELSE 1.0 END, 1.0) >= -0.2""",
+    SELECT from_track, to_track, round(dd, 6) AS distance, round(dd + 40 * gap, 6) AS cost FROM j WHERE dd <= 80 AND coalesce(CASE WHEN nn > 0 THEN dot / nn ELSE 1.0 END, 1.0) >= -0.2
+    ORDER BY cost, from_track, to_track LIMIT 12""",
 )
 def id_switch_suspects(spark, d):
-    p = _points(spark, d).withColumn("track_id", F.col("track_id") * 1000 + F.floor(F.col("frame_id") / 1000))
-    return compare.switch_suspects(p, compare.default_switch_horizon(25.0), 80.0)
+    # ten pieces of each track, and the twelve likeliest hand-overs: the report is a top list
+    p = _points(spark, d).withColumn("track_id", F.col("track_id") * 1000 + F.floor(F.col("timestamp") / 7.2))
+    return compare.switch_suspects(p, compare.default_switch_horizon(25.0), 80.0).orderBy("cost", "from_track", "to_track").limit(12)
 
 
 @query("alive_intervals_join", f"WITH {_P}, l AS (SELECT track_id, min(timestamp) AS a, max(timestamp) AS b FROM p WHERE frame_id % 40 < 5 GROUP BY 1), t AS (SELECT unnest(generate_series(0, 71)) AS t) SELECT t, count(track_id) AS alive FROM t LEFT JOIN l ON t.t BETWEEN a AND b GROUP BY 1")
