@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm import textops as T
 from footfall.llm.common import cut, table
 
 RATE, FRAME, HOP = 8000, 1024, 256
@@ -147,7 +148,7 @@ def with_audio(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([render(v) for v in part.column("v").to_pylist()], pa.binary())], names=["key", "audio"])
 
-    return src.mapInArrow(own, "key long, audio binary")
+    return src.mapInArrow(T.lean(own), "key long, audio binary")
 
 
 def fingerprints(media: DataFrame, key: str = "key", audio: str = "audio") -> DataFrame:
@@ -158,7 +159,7 @@ def fingerprints(media: DataFrame, key: str = "key", audio: str = "audio") -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([fingerprint(a).astype("<u4").tobytes() for a in b.column("audio").to_pylist()], pa.binary())], names=["key", "ints"])
 
-    return src.mapInArrow(own, "key long, ints binary")
+    return src.mapInArrow(T.lean(own), "key long, ints binary")
 
 
 def bit_error(a: np.ndarray, b: np.ndarray, offset: int) -> float:
@@ -231,7 +232,7 @@ def search(prints: DataFrame, queries, block: int = QUERY_BLOCK) -> DataFrame:
                     names=["h", "match_id", "match_offset", "match_hits", "bit_error"],
                 )
 
-        found = found.unionByName(one.filter("octet_length(ints) > 0").select("h", "class_id", "ints").mapInArrow(own, schema))
+        found = found.unionByName(one.filter("octet_length(ints) > 0").select("h", "class_id", "ints").mapInArrow(T.lean(own), schema))
     order = F.struct("bit_error", (-F.col("match_hits")).alias("less"), "match_id", "match_offset", "match_hits")
     best = found.groupBy(F.col("h").alias("bh")).agg(F.min(order).alias("m"))
     classes = one.select(F.col("h").alias("ch"), "class_id").join(best, F.col("ch") == F.col("bh"), "left")

@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of texts in one Arrow batch: a batch lies in the JVM's and the worker's memory at once.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows; a lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     Only a local session without the setting (a test) gets a folder of its own.
     """
+    small_batches(spark)
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         found = sc.getConf().get("spark.checkpoint.dir")
@@ -55,15 +68,14 @@ class Sieve:
         h = hashes.view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
         return (self.bits.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1) > 0
 
-    def sift(self, rows: DataFrame, column: str, through: bool = True) -> DataFrame:
-        """The rows that the sieve lets through, or those that it stops."""
-
-        def own(batches):
-            for b in batches:
-                keep = self.passes(np.asarray(b.column(column)).astype(np.int64))
-                yield b.filter(pa.array(keep if through else ~keep))
+    def keep(self, batch: pa.RecordBatch, column: str, through: bool = True) -> pa.RecordBatch:
+        """The rows of a batch that the sieve lets through, or those that it stops."""
+        ok = self.passes(np.asarray(batch.column(batch.schema.get_field_index(column))).astype(np.int64))
+        return batch.filter(pa.array(ok if through else ~ok))
 
-        return rows.mapInArrow(own, rows.schema)
+    def sift(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows that the sieve lets through."""
+        return rows.mapInArrow(lambda batches: (self.keep(b, column) for b in batches), rows.schema)
 
 
 def stored(df: DataFrame) -> DataFrame:

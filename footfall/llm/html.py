@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from footfall.llm import textops as T
 from footfall.llm.common import cut, table
 
 #: A text block counts as template only on hosts with so many pages.
@@ -184,7 +185,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     names=["host", "token", "path", "kind", "pages", "ones", "sig", "flat", "chars"],
                 )
 
-    rows = pages.select("host", "key", "html").mapInArrow(own, schema)
+    rows = pages.select("host", "key", "html").mapInArrow(T.lean(own), schema)
     return rows.groupBy("host", "token").agg(F.max("path").alias("path"), F.max("kind").alias("kind"), F.sum("pages").alias("pages"), F.sum("ones").alias("ones"), F.bit_xor("sig").alias("sig"), F.bit_xor("flat").alias("flat"), F.sum("chars").alias("chars"))
 
 
@@ -220,7 +221,7 @@ def templates(pages: DataFrame) -> DataFrame:
         keep = bool(slot or blocks)
         return pa.table({"t_host": pa.array([rows[0]["host"]] * keep, pa.string()), "slot": pa.array([slot] * keep, pa.string()), "blocks": pa.array([blocks] * keep, pa.list_(pa.int64()))})
 
-    return wide.groupBy("host").applyInArrow(own, "t_host string, slot string, blocks array<long>")
+    return wide.groupBy("host").applyInArrow(T.lean_group(own), "t_host string, slot string, blocks array<long>")
 
 
 def main_text(page: str | None, slot: str = "", template: frozenset = frozenset()) -> str:
@@ -253,7 +254,7 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
             texts = [main_text(h, s or "", frozenset(t or ())) for h, s, t in zip(b.column("html").to_pylist(), b.column("slot").to_pylist(), b.column("blocks").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return both.mapInArrow(own, f"page_id {kind}, url string, text string")
+    return both.mapInArrow(T.lean(own), f"page_id {kind}, url string, text string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

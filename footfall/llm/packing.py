@@ -33,8 +33,8 @@ from footfall.llm.common import cut, table
 
 WINDOW, END = 1024, 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Word chunks whose ids a worker keeps in each of two generations; the older one is dropped when the younger is full.
-KEPT = 400_000
+#: Word chunks whose ids a worker keeps (about 40 bytes each); it starts afresh beyond that.
+KEPT = 1_500_000
 #: UTF-8 forms of white space outside ASCII; a text that has one is encoded as a whole.
 _WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 
@@ -52,7 +52,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept, self.young, self.old = kept, {}, {}
+        self.memo = T.Memo(kept)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,18 +72,15 @@ class Encoder:
         starts = np.flatnonzero((space & ~before) | begins)
         ends = np.append(starts[1:], n)
         keys, at, back = np.unique(T.SpanHash(T._BYTE[data])(starts, ends), return_index=True, return_inverse=True)
-        if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        found = [young.get(name) or old.get(name) for name in keys.tolist()]
-        fresh = [k for k, ids in enumerate(found) if ids is None]
-        for k, ids in zip(fresh, self.plain([raw[starts[at[k]] : ends[at[k]]].decode("utf-8") for k in fresh]), strict=True):
-            found[k] = np.array(ids, "<u4").tobytes()
-        young.update(zip(keys.tolist(), found, strict=True))
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        first = np.concatenate([[0], np.cumsum(length)])[:-1]
-        ids, sizes = T.gather(flat, first[back], length[back]), length[back]
+        if len(self.memo.keys) > self.memo.most:
+            self.memo.clear()
+        memo = self.memo
+        fresh = np.flatnonzero(memo.find(keys) < 0)
+        if len(fresh):
+            memo.learn(keys[fresh], self.plain([raw[starts[at[k]] : ends[at[k]]].decode("utf-8") for k in fresh.tolist()]))
+        place = memo.find(keys)[back]
+        sizes = memo.size[place].astype(np.int64)
+        ids = T.gather(memo.flat, memo.first[place], sizes).astype(np.uint32)
         chunk_doc = np.searchsorted(offsets, starts, side="right") - 1
         # an empty text shares its offset with the next one; its chunks belong to the last of them
         bounds = np.concatenate([[0], np.cumsum(np.bincount(chunk_doc, sizes, docs).astype(np.int64))])
@@ -211,7 +208,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, doc
 
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", *["ids"] * with_ids]
-    return src.mapInArrow(cut_up, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids array<int>" * with_ids)
+    return src.mapInArrow(T.lean(cut_up), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, nth long" + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, doc: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -238,7 +235,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, doc:
 
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
     joined = cutup.join(by_part.select("part", "length", "before"), ["part", "length"])
-    return joined.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long," + " ids array<int>," * with_ids + " sequence_id long, offset long")
+    return joined.mapInArrow(T.lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long," + " ids array<int>," * with_ids + " sequence_id long, offset long")
 
 
 def vocabulary() -> str:

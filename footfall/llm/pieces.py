@@ -31,8 +31,8 @@ from footfall.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches that a worker keeps the ids of, in each of two generations.
-KEPT = 300_000
+#: Stretches whose ids a worker keeps (about 40 bytes each); it starts afresh beyond that.
+KEPT = 1_000_000
 
 
 class Pieces:
@@ -76,11 +76,10 @@ class Pieces:
         self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.first = np.cumsum(self.size) - self.size
-        self.young: dict[int, tuple[bytes, float]] = {}
-        self.old: dict[int, tuple[bytes, float]] = {}
+        self.memo = T.Memo(KEPT)
 
-    def viterbi(self, rows: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Best ids (as little-endian int32 bytes) and scores of equally long byte rows."""
+    def viterbi(self, rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Best ids and scores of equally long byte rows."""
         n, size = rows.shape
         power, inverse = T._powers(size + 1)
         with np.errstate(over="ignore"):
@@ -113,7 +112,7 @@ class Pieces:
             here[live] -= step[here[live], live]
             live = live[here[live] > 0]
         flat = ids.T
-        return [flat[r, size - c :].tobytes() for r, c in enumerate(count.tolist())], best[size]
+        return [flat[r, size - c :].copy() for r, c in enumerate(count.tolist())], best[size]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, bounds of the texts in them, and the texts' scores."""
@@ -131,29 +130,26 @@ class Pieces:
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], len(data))
         keys, at, back = np.unique(T.SpanHash(T._BYTE[data])(starts, ends), return_index=True, return_inverse=True)
-        if len(self.young) > KEPT:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        names = keys.tolist()
-        found = [young.get(k) or old.get(k) for k in names]
-        fresh = np.array([i for i, x in enumerate(found) if x is None], np.int64)
-        length = (ends - starts)[at[fresh]] if len(fresh) else np.zeros(0, np.int64)
-        for size in np.unique(length):
-            own = fresh[length == size]
-            for lo in range(0, len(own), max(1, (1 << 21) // int(size))):
-                some_ = own[lo : lo + max(1, (1 << 21) // int(size))]
-                rows = data[starts[at[some_]][:, None] + np.arange(size)]
-                ids, score = self.viterbi(rows)
-                for i, x in zip(some_.tolist(), zip(ids, score.tolist(), strict=True), strict=True):
+        memo = self.memo
+        if len(memo.keys) > memo.most:
+            memo.clear()
+        fresh = np.flatnonzero(memo.find(keys) < 0)
+        found, score = [None] * len(fresh), np.zeros(len(fresh))
+        length = (ends - starts)[at[fresh]]
+        for size in np.unique(length).tolist():
+            group = np.flatnonzero(length == size)
+            for lo in range(0, len(group), max(1, (1 << 20) // size)):
+                own = group[lo : lo + max(1, (1 << 20) // size)]
+                ids, score[own] = self.viterbi(data[starts[at[fresh[own]]][:, None] + np.arange(size)])
+                for i, x in zip(own.tolist(), ids, strict=True):
                     found[i] = x
-        young.update(zip(names, found, strict=True))
-        flat = np.frombuffer(b"".join(x[0] for x in found), "<i4")
-        many = np.fromiter((len(x[0]) // 4 for x in found), np.int64, len(found))
-        worth = np.fromiter((x[1] for x in found), np.float64, len(found))
-        first = np.cumsum(many) - many
+        if len(fresh):
+            memo.learn(keys[fresh], found, score)
+        place = memo.find(keys)[back]
+        many = memo.size[place].astype(np.int64)
         doc = np.searchsorted(offsets, starts, side="right") - 1
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, many[back], docs).astype(np.int64))])
-        return T.gather(flat, first[back], many[back]), bounds, np.bincount(doc, worth[back], docs)
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, many, docs).astype(np.int64))])
+        return T.gather(memo.flat, memo.first[place], many), bounds, np.bincount(doc, memo.worth[place].astype(np.float64), docs)
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of all texts, and their offsets."""
@@ -183,7 +179,7 @@ def encode(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text")
             ids, bounds, score = model.encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), T.ragged(bounds, ids, pa.int32()), pa.array(score)], names=["doc_id", "ids", "score"])
 
-    return src.mapInArrow(own, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, score double")
+    return src.mapInArrow(T.lean(own), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, ids array<int>, score double")
 
 
 def decode(encoded: DataFrame, path: str, doc: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -199,7 +195,7 @@ def decode(encoded: DataFrame, path: str, doc: str = "doc_id", ids: str = "ids")
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([raw[i:j].decode("utf-8", "replace") for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.string())], names=["doc_id", "text"])
 
-    return src.mapInArrow(own, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
+    return src.mapInArrow(T.lean(own), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def model_path() -> str:
@@ -227,4 +223,4 @@ def query(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_ids", "ids_crc32", "score", "round_trip"],
             )
 
-    return src.mapInArrow(own, "doc_id long, n_bytes long, n_ids long, ids_crc32 long, score double, round_trip boolean")
+    return src.mapInArrow(T.lean(own), "doc_id long, n_bytes long, n_ids long, ids_crc32 long, score double, round_trip boolean")

@@ -35,7 +35,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from footfall.llm import textops as T
 from footfall.llm.common import Sieve, cut, stored, table
@@ -260,15 +259,16 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
     spark = docs.sparkSession
     rows = stored(_stretch_rows(docs, least))
     distinct = rows.groupBy("mh", "th", "many", "anchor").agg(F.count("*").alias("c"), F.min(F.struct("x", "start")).alias("rep"))
-    by_anchor = Window.partitionBy("mh")
-    met = distinct.select("mh", "th", "many", "anchor", "c", "rep.x", "rep.start").withColumns({"kinds": F.count("*").over(by_anchor), "bytes": F.sum(F.col("many") + (least - 1)).over(by_anchor)})
-    met = stored(met.filter("kinds > 1 OR c > 1"))
+    distinct = distinct.select("mh", "th", "many", "anchor", "c", "rep.x", "rep.start")
+    # counted by partial aggregation and joined back, as one anchor may hold a third of all stretches
+    kinds = distinct.groupBy(F.col("mh").alias("k")).agg(F.count("*").alias("kinds"), F.sum(F.col("many") + (least - 1)).alias("bytes")).filter("kinds > 1")
+    met = stored(distinct.join(kinds, F.col("mh") == F.col("k"), "left").drop("k").filter("kinds IS NOT NULL OR c > 1"))
     meet = met.filter("kinds > 1").withColumn("hot", F.col("bytes") > hot_bytes)
     total = meet.filter("not hot").agg(F.sum(F.col("many") + (least - 1)).alias("b")).first()["b"] or 0
     buckets = max(spark.sparkContext.defaultParallelism, int(total // bucket_bytes) + 1)
     wanted = meet.groupBy("x").agg(F.collect_list(F.struct("mh", "th", "many", "anchor", "start", "hot")).alias("w"))
-    texts = Sieve(meet, "x").sift(docs.filter(F.octet_length("text") >= least).select(F.col("x").alias("tx"), "text"), "tx")
-    both = wanted.join(_squeezed(texts, "text"), F.col("x") == F.col("tx")).select("x", "w", "text")
+    texts = _squeezed(docs.filter(F.octet_length("text") >= least).select(F.col("x").alias("tx"), "text"), "text", Sieve(meet, "x"), "tx")
+    both = wanted.join(texts, F.col("x") == F.col("tx")).select("x", "w", "text")
 
     def pieces(hot: bool):
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,12 +322,12 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
     return places.join(verdict, ["mh", "th"]).select("x", (F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).distinct()
 
 
-def _squeezed(rows: DataFrame, text: str) -> DataFrame:
-    """The rows with the text column as compressed bytes, for a shuffle."""
+def _squeezed(rows: DataFrame, text: str, sieve: Sieve, key: str) -> DataFrame:
+    """The rows that the sieve lets through, with the text as compressed bytes, for a shuffle."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for b in T.slices(batches, text):
+        for b in T.slices((sieve.keep(x, key) for x in batches), text):
             at = b.schema.get_field_index(text)
             data, offsets = T.buffer_of(b.column(at))
             raw = data.tobytes()
@@ -349,14 +349,14 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     found = spans(body.select(F.col("_x").alias("x"), F.col("_text").alias("text")), least, hot_bytes)
     by_text = cut(found.groupBy(F.col("x").alias("_sx")).agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")))
     sieve = Sieve(by_text, "_sx")
-    hit = _squeezed(sieve.sift(body, "_x"), "_text").join(by_text, F.col("_x") == F.col("_sx"), "left").drop("_x", "_sx")
-    rest = sieve.sift(body, "_x", through=False).drop("_x").withColumns({"_lo": F.lit(None).cast("array<int>"), "_hi": F.lit(None).cast("array<int>")})
+    hit = _squeezed(body, "_text", sieve, "_x").join(by_text, F.col("_x") == F.col("_sx"), "left")
+    rest = body.withColumns({"_lo": F.lit(None).cast("array<int>"), "_hi": F.lit(None).cast("array<int>")})
     names = list(carry or [])
 
     def cutter(squeezed: bool):
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             expand = zstandard.ZstdDecompressor().decompress
-            for b in T.slices(batches, "_text"):
+            for b in T.slices(batches if squeezed else (sieve.keep(x, "_x", through=False) for x in batches), "_text"):
                 rest, begins, ends, size = [], [], [], []
                 data, offsets = T.buffer_of(b.column(b.schema.get_field_index("_text")))
                 raw = data.tobytes()
@@ -377,7 +377,7 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
 
     kinds = {f.name: f.dataType.simpleString() for f in body.schema.fields}
     schema = f"_id {kinds['_id']}, _bytes long, _rest binary, _clean string, _begins array<long>, _ends array<long>" + "".join(f", `{c}` {kinds[c]}" for c in names)
-    return hit.mapInArrow(T.lean(cutter(True)), schema).unionByName(rest.select(*hit.columns).mapInArrow(T.lean(cutter(False)), schema))
+    return hit.drop("_sx").mapInArrow(T.lean(cutter(True)), schema).unionByName(rest.mapInArrow(T.lean(cutter(False)), schema))
 
 
 def _without(body: bytes, lo, hi, least: int) -> tuple[bytes, list[int], list[int]]:

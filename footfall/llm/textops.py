@@ -7,8 +7,12 @@ prefix sums, so that no Python loop runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,13 +59,92 @@ class SpanHash:
     def __init__(self, values: np.ndarray):
         power, self.inverse = _powers(len(values) + 1)
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
+            self.sums = np.zeros(len(values) + 1, np.uint64)
+            np.multiply(values, power[: len(values)], out=self.sums[1:])
+            np.cumsum(self.sums, out=self.sums)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
 
 
+def release() -> None:
+    """Give back what a worker no longer needs; idle workers live on beside later stages."""
+    global _POW, _INV
+    if len(_POW) > 1 << 22:
+        _POW = _INV = np.ones(1, np.uint64)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """A batch function that releases memory when its partition ends."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(f: Callable) -> Callable:
+    """A group function that releases memory after a large group."""
+
+    if f.__code__.co_argcount == 2:
+
+        def both(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = f(left, right)
+            if left.nbytes + right.nbytes > 1 << 20:
+                release()
+            return out
+
+        return both
+
+    def one(t: pa.Table) -> pa.Table:
+        out = f(t)
+        if t.nbytes > 1 << 20:
+            release()
+        return out
+
+    return one
+
+
+class Memo:
+    """What a worker has learnt about byte stretches: ids (and a number) by hash, in sorted arrays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.first, self.size, self.worth = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of sorted keys; -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def learn(self, keys: np.ndarray, ids: list, worth: np.ndarray | None = None) -> None:
+        """Add unknown sorted keys with their id arrays."""
+        size = np.fromiter(map(len, ids), np.int32, len(ids))
+        first = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        at = np.searchsorted(self.keys, keys)
+        new = np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())) if ids and isinstance(ids[0], list) else np.concatenate(ids) if ids else self.flat[:0]
+        self.flat = np.concatenate([self.flat, new])
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.worth = np.insert(self.worth, at, np.zeros(len(ids)) if worth is None else worth)
+
+
 def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and offsets (one more than texts); null counts as empty."""
     if texts.null_count:
@@ -75,7 +158,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows in slices of about ``most`` bytes of text; a longer row is a slice of its own."""
     for batch in batches:
         if not batch.num_rows:
