@@ -22,7 +22,8 @@ a text of fewer than five words is one shingle; repeated rows get a row each; ex
 are ignored; an empty table gives an empty result. Shingles are compared by 48 bits of
 a 64-bit hash.
 
-Scale: per shingle, 8 bytes cross the network once. No list is gathered for a task and no
+Scale: per shingle, 8 bytes cross the network once. Shingles that many classes hold are found slice by
+slice and bypass the counting buckets. No list is gathered for a task and no
 group expanded; links and groups stay tables. Heavy shingles have long lists only if many
 classes hold little else, and then one round of pivots joins them.
 """
@@ -48,6 +49,9 @@ ROUNDS, PIVOTS = 14, 2
 PAIRS_EACH, LEAST_GAIN = 1, 0.02
 #: Shingles that one counting bucket should hold.
 BUCKET_ROWS = 1_000_000
+#: Classes of one slice that make a shingle hot there, and the share of all shingles from which on it
+#: is set apart (no more than the inverse of it can reach that share, so they may be broadcast).
+HOT_CLASSES, HOT_SHARE = 8, 1e-6
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -75,41 +79,61 @@ def _signs(key: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def classes(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
-    """doc_id, sid (of equal sets), n (size of the set)."""
+def _distinct(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signs and sizes of a slice's sets, and the first row of each different set that is not empty."""
+    sign, size = _signs(key, at), np.diff(at)
+    one = np.sort(np.unique(sign, return_index=True)[1])
+    return sign, size, one[size[one] > 0]
+
+
+def classes(docs: DataFrame, doc: str, text: str, width: int, hot: int = HOT_CLASSES) -> DataFrame:
+    """doc_id, sid (of equal sets), n (size of the set); and rows (token, c) for shingles that are hot in a slice."""
     src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches):
             key, at = _sets(b.column("text"), width)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_signs(key, at).view(np.int64)), pa.array(np.diff(at), pa.int64())], names=["doc_id", "sid", "n"])
+            sign, size, one = _distinct(key, at)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sign.view(np.int64)), pa.array(size, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            token, count = np.unique(T.gather(key, at[one], size[one]) & _LOW48, return_counts=True)
+            token, count = token[count >= hot], count[count >= hot]
+            m = len(token)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=names)
 
-    return src.mapInArrow(T.lean(own), "doc_id long, sid long, n long")
+    names = ["doc_id", "sid", "n", "token", "c"]
+    return src.mapInArrow(T.lean(own), "doc_id long, sid long, n long, token long, c long")
 
 
 def _flat(column, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, percent: int) -> DataFrame:
-    """sid, n, tokens (those that other classes have, the rarest first) of the classes that can link."""
+def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
+    """sid, n, tokens (those that other classes have, the rarest first) of the classes that can link.
+
+    ``hot`` are sorted shingles known to be shared widely: they rank last, and their entries go straight to
+    their classes, so that no bucket has to hold a list of a third of all classes.
+    """
     src = docs.select(F.col(text).alias("text"))
+    apart = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.uint64) if hot is None else hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches):
             key, at = _sets(b.column("text"), width)
-            sign = _signs(key, at)
-            size = np.diff(at)
-            _, one = np.unique(sign, return_index=True)  # equal sets of a slice once
-            one = np.sort(one[size[one] > 0])
+            sign, size, one = _distinct(key, at)  # equal sets of a slice once
             if not len(one):
                 continue
             token = T.gather(key, at[one], size[one]) & _LOW48
             own = np.repeat(np.arange(len(one)), size[one])
             bucket = (token % np.uint64(buckets)).astype(np.int32)
+            heavy = apart.value
+            if len(heavy):
+                known = heavy[np.minimum(np.searchsorted(heavy, token), len(heavy) - 1)] == token
+                bucket = np.where(known, buckets + (sign[one[own]] % np.uint64(parts)).astype(np.int32), bucket)
             order = np.argsort(bucket, kind="stable")
             token, own, bucket = token[order], own[order], bucket[order]
-            bound = np.searchsorted(bucket, np.arange(buckets + 1))
+            bound = np.searchsorted(bucket, np.arange(buckets + parts + 1))
             rows: dict[str, list] = {"bucket": [], "sids": [], "ns": [], "own": [], "low": [], "high": []}
             low, high = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32), (token >> np.uint64(32)).astype(np.uint16)
             for k in np.unique(bucket).tolist():
@@ -135,12 +159,13 @@ def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, per
             sid.append(s[o])
             size.append(n[o])
         token, sid, size = np.concatenate(token), np.concatenate(sid), np.concatenate(size)
+        heavy = t.column("bucket")[0].as_py() >= buckets
         order = np.argsort(token, kind="stable")
         token, sid, size = token[order], sid[order], size[order]
         # tokens that stand once go first, as they are most
         new = np.concatenate([[True], token[1:] != token[:-1]])
         group = np.cumsum(new) - 1
-        some = np.bincount(group)[group] > 1
+        some = (np.bincount(group)[group] > 1) | heavy
         token, sid, size, group = token[some], sid[some], size[some], group[some]
         order = np.lexsort((sid, group))
         token, sid, size, group = token[order], sid[order], size[order], group[order]
@@ -149,11 +174,12 @@ def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, per
             fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (sid[1:] != sid[:-1])])
             token, sid, size, group = token[fresh], sid[fresh], size[fresh], group[fresh]
             df = np.bincount(group)[group]
-            keep = df > 1
+            keep = (df > 1) | heavy
             token, sid, size, df = token[keep], sid[keep], size[keep], df[keep]
         else:
             df = np.zeros(0, np.int64)
-        rank = np.minimum(np.floor(np.log2(np.maximum(df, 1)) * 4), 255).astype(np.uint8)
+        rank = np.minimum(np.floor(np.log2(np.maximum(df, 1)) * 4), 254).astype(np.uint8)
+        rank = np.full_like(rank, 255) if heavy else rank
         part = (sid % np.uint64(parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         bound = np.searchsorted(part[order], np.arange(parts + 1))
@@ -185,7 +211,7 @@ def shared(docs: DataFrame, text: str, width: int, buckets: int, parts: int, per
         order = np.lexsort((token, rank, sid))
         sid, size, token = sid[order], size[order], token[order]
         at = np.flatnonzero(np.concatenate([[True], sid[1:] != sid[:-1]])) if len(sid) else np.zeros(0, np.int64)
-        ends = np.append(at[1:], len(sid))
+        ends = np.append(at[1:], len(sid))[: len(at)]
         return pa.table({"sid": pa.array(sid[at].view(np.int64)), "n": pa.array(size[at], pa.int64()), "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist(), strict=True)], pa.binary())})
 
     blobs = src.mapInArrow(T.lean(emit), "bucket int, sids binary, ns binary, own binary, low binary, high binary")
@@ -369,13 +395,15 @@ def _with_roots(stars: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, local: int = LOCAL_LINKS) -> DataFrame:
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, local: int = LOCAL_LINKS, hot: int = HOT_CLASSES) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``; ids are whole numbers."""
-    own = cut(classes(docs, doc, text, width))
+    both = cut(classes(docs, doc, text, width, hot))
+    own = both.filter("token IS NULL").select("doc_id", "sid", "n")
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
     spark = docs.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_ROWS) + 1)
-    sets = cut(shared(docs, text, width, buckets, buckets, percent))
+    heavy = both.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT_SHARE * total).select("token").toArrow()
+    sets = cut(shared(docs, text, width, buckets, buckets, percent, np.sort(np.asarray(heavy.column("token")).astype(np.uint64))))
     roots = links(sets, percent, local=local)
     grouped = own.join(roots.withColumnRenamed("sid", "r_sid"), F.col("sid") == F.col("r_sid"), "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = grouped.filter("g is not null").groupBy(F.col("g").alias("l_g")).agg(F.min("doc_id").alias("least"))

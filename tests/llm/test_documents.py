@@ -52,9 +52,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(d, t, s, 1, "c") for d, t, s in rows], "doc_id long, text string, source string, n int, kept string").repartition(7)
 
 
-@pytest.mark.parametrize("local", [jaccard.LOCAL_LINKS, 0])
-def test_jaccard_groups_match_brute_force(spark, corpus, local):
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, corpus), local=local).collect())
+@pytest.mark.parametrize(("local", "hot"), [(jaccard.LOCAL_LINKS, jaccard.HOT_CLASSES), (0, 2), (jaccard.LOCAL_LINKS, 10_000)])
+def test_jaccard_groups_match_brute_force(spark, corpus, local, hot):
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, corpus), local=local, hot=hot).collect())
     sets = []
     for _, t, _ in corpus:
         w = WORDS.findall(lower(t or ""))
@@ -77,6 +77,15 @@ def test_jaccard_groups_match_brute_force(spark, corpus, local):
     assert got == Counter((d, len(sets[i]), least[find(i)]) for i, (d, _, _) in enumerate(corpus))
 
 
+def test_jaccard_without_links(spark, corpus):
+    rows = [(i, rng_text(70 + i, 40 + i, 10_000), "h") for i in range(6)] + [(9, None, "h")]
+    # a passage in all of them, too short to link any
+    rows += [(20 + i, rng_text(3, 8) + " " + rng_text(90 + i, 60, 10_000), "h") for i in range(6)]
+    got = jaccard.join(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(d, d) for d, _, _ in rows]
+    assert jaccard.join(frame(spark, corpus).limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT_BYTES, 1500])
 def test_repeats_match_brute_force(spark, corpus, hot):
     least = 120
