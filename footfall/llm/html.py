@@ -9,12 +9,12 @@ host's pages and its elements nest: the parent of each lies in a class with as w
 support. The class that occurs exactly once on every page is the template's root; the others
 nest in it by path. What lies between template tokens are slots.
 
-The article slot is the root element named ``article`` or ``main``, else the innermost root
-element that still holds most of the host's slot text outside menus and the like. Within it,
-elements that are by name no article text (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, comments) are left out. On a host without article elements, so
-is a text block that is itself a template token (the same block once on every page of a host with
-``TEXT_PAGES`` pages or more); what stands in an article element is never dropped as template.
+The article slot is the innermost root element that still holds most of the host's text outside
+menus and the like; of several, one named ``article`` or ``main``. Within it, elements that are
+by name no article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, comments) are left out; a name around the slot does not count. So is a text block
+that is itself a template token (the same block once on every page of a host with
+``TEXT_PAGES`` pages or more), unless it stands in an article element.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; a
 page without any article element gives the text outside the excluded elements; repeated rows
@@ -61,17 +61,17 @@ _MAIN = ("article", "main")
 
 
 class Block:
-    """A stretch of text between block tags, with the path of its element and whether a name rules it out."""
+    """A stretch of text between block tags, with the path of its element and the depth of the innermost element that a name rules out (0: none)."""
 
     __slots__ = ("path", "text", "out", "main")
 
-    def __init__(self, path: str, text: str, out: bool, main: bool):
+    def __init__(self, path: str, text: str, out: int, main: bool):
         self.path, self.text, self.out, self.main = path, text, out, main
 
 
 def parse(page: str) -> tuple[list[str], list[Block]]:
     """Paths of all opening tags, and the text blocks in page order."""
-    opened: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, ruled out, within article or main
+    opened: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, depth of the innermost ruled out, within article or main
     tags: list[str] = []
     blocks: list[Block] = []
     run: list[str] = []
@@ -105,7 +105,7 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 words = _words(rest) if rest else ()
                 if any(w in _OUT_NAMES for w in words):
                     flush()
-                    opened.append((name, f"{opened[-1][1]}/{name}.{'.'.join(words)}", True, opened[-1][3]))
+                    opened.append((name, f"{opened[-1][1]}/{name}.{'.'.join(words)}", len(opened), opened[-1][3]))
             elif slash and opened[-1][0] == name:
                 close(len(opened) - 1)
             continue
@@ -126,7 +126,8 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
         tags.append(path)
         if name in _VOID or rest.endswith("/"):
             continue
-        out = opened[-1][2] or name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words))
+        named = name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words))
+        out = len(opened) if named else opened[-1][2]
         opened.append((name, path, out, opened[-1][3] or name in _MAIN))
     flush()
     return tags, blocks
@@ -165,12 +166,11 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 for x in blocks:
                     c = counts.setdefault((_hash("#" + x.path + "#" + x.text), "", 1), [0, 0])
                     c[0] += 1
-                    if not x.out:
-                        # text counts for each element that holds it
-                        path = x.path
-                        while path:
-                            counts.setdefault((_hash("<" + path), path, 0), [0, 0])[1] += len(x.text)
-                            path = path.rpartition("/")[0]
+                    # text counts for each element that holds it with nothing ruled out between them
+                    path = x.path
+                    while path and path.count("/") >= x.out:
+                        counts.setdefault((_hash("<" + path), path, 0), [0, 0])[1] += len(x.text)
+                        path = path.rpartition("/")[0]
                 for (token, path, kind), (n, chars) in counts.items():
                     row = seen.setdefault((host, token, path, kind), [0, 0, 0, 0, 0])
                     row[0] += 1
@@ -200,14 +200,27 @@ def deduce(tokens: list[dict], pages: int) -> tuple[str, list[int]]:
     root = [t for s in nested for t in classes[s] if t["ones"] == pages and t["pages"] == pages]
     blocks = sorted(t["token"] for t in root if t["kind"] == 1) if pages >= TEXT_PAGES else []
     elements = [t for t in root if t["kind"] == 0 and t["chars"]]
-    if any(step.partition(".")[0] in _MAIN for t in elements for step in t["path"].split("/")):
-        return "", []
-    total = max((t["chars"] for t in elements), default=0)
-    inner = [t for t in elements if 10 * t["chars"] >= 7 * total]
-    best = max(inner, key=lambda t: (t["path"].count("/"), t["path"]), default=None)
+    plain = [t for t in elements if not _ruled_out(t["path"])]
+    # names do not reach into an article: one within a named element is taken where none stands outside
+    named = [t for t in elements if _is_main(t["path"]) and _ruled_out(t["path"])]
+    total = max((t["chars"] for t in plain), default=0)
+    if named and max(t["chars"] for t in named) > total and not any(_is_main(t["path"]) for t in plain):
+        plain, total = named, max(t["chars"] for t in named)
+    inner = [t for t in plain if 10 * t["chars"] >= 7 * total]
+    best = max(inner, key=lambda t: (_is_main(t["path"]), t["path"].count("/"), t["path"]), default=None)
     return (best["path"] if best and pages > 1 else ""), blocks
 
 
+def _is_main(path: str) -> bool:
+    return path.rpartition("/")[2].partition(".")[0] in _MAIN
+
+
+def _ruled_out(path: str) -> bool:
+    """Whether a step of the path holds no article text by its name, as in ``parse``."""
+    steps = [step.split(".") for step in path.split("/")[1:]]
+    return any(name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words)) for name, *words in steps)
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host, slot and template blocks of the hosts that differ from the default."""
     tokens = occurrences(pages)
@@ -230,10 +243,15 @@ def main_text(page: str | None, slot: str = "", template: frozenset = frozenset(
         return ""
     _, blocks = parse(page)
     kept = [b for b in blocks if not b.out]
+    inside = []
     if slot:
-        inside = [b for b in kept if b.path == slot or b.path.startswith(slot + "/")]
-    else:
-        inside = [b for b in kept if b.main]
+        depth = slot.count("/")
+        inside = [b for b in blocks if b.out <= depth and (b.path == slot or b.path.startswith(slot + "/"))]
+        # an article that holds most of the slot's text narrows it
+        main = [b for b in inside if b.main]
+        if 10 * sum(len(b.text) for b in main) >= 7 * sum(len(b.text) for b in inside):
+            inside = main
+    inside = inside or [b for b in kept if b.main]
     if template:
         inside = [b for b in inside if b.main or _hash("#" + b.path + "#" + b.text) not in template]
     return " ".join(b.text for b in (inside or ([] if any(x.main for x in blocks) else kept)))

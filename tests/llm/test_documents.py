@@ -270,6 +270,15 @@ def test_template_blocks_are_left_out():
     assert html.deduce(tokens, 9) == ("/html/body/div.x", [77])
 
 
+def test_classes_decide_the_slot_on_hosts_with_articles(spark):
+    # a teaser in an article beside the text, and a layout class around the article that holds a listed word
+    teaser = "<html><body><article><p>Teaser {n}</p></article><div class='story'><p>%s {n}</p></div></body></html>" % ("long text " * 20).strip()
+    layout = "<html><body><div class='no-sidebar'><article><p>Whole text {n}</p><div class='ad'>Buy!</div></article></div><section id='comments'><p>no {n}</p></section></body></html>"
+    rows = [(i, f"http://t.example/{i}", teaser.format(n=i)) for i in range(9)] + [(100 + i, f"http://l.example/{i}", layout.format(n=i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("long text " * 20).strip() + f" {i}" for i in range(9)} | {100 + i: f"Whole text {i}" for i in range(9)}
+
+
 def test_chroma_alignment(spark):
     from footfall.llm import chroma
 
