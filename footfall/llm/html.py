@@ -6,15 +6,15 @@ on each page. Tokens that share a vector are an equivalence class; vectors are c
 fingerprint (the exclusive or of hashes of page and count), which partial aggregation can build, so no
 host's pages are ever gathered. A class is valid if it stands on at least half of the
 host's pages and its elements nest: the parent of each lies in a class with as wide a
-support. The class that occurs exactly once on every page is the template's root; the others
-nest in it by path. What lies between template tokens are slots.
+support. Pages without any token (null, empty, nothing but comments) are not counted, and a
+class on a single page repeats nothing. Valid classes nest by path. What lies between their
+tokens are slots.
 
-The article slot is the innermost root element that still holds most of the host's text outside
+The article slot is the innermost valid element, once a page on at least half of them, that still holds most of the host's text outside
 menus and the like; of several, one named ``article`` or ``main``. Within it, elements that are
 by name no article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles, comments) are left out; a name around the slot does not count. So is a text block
-that is itself a template token (the same block once on every page of a host with
-``TEXT_PAGES`` pages or more), unless it stands in an article element.
+of a valid class, wherever it occurs, unless it stands in an article element.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; a
 page without any article element gives the text outside the excluded elements; repeated rows
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 from footfall.llm import textops as T
 from footfall.llm.common import cut, table
 
-#: A text block counts as template only on hosts with so many pages.
-TEXT_PAGES = 8
 #: Template rows (one for a host that differs from the default) that are broadcast at most.
 BROADCAST_HOSTS = 20_000
 
@@ -133,6 +132,15 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
     return tags, blocks
 
 
+def bears(page: str) -> bool:
+    """Whether a page has any token."""
+    for m in _TOKEN.finditer(page):
+        raw_element, slash, name, _ = m.groups()
+        if (raw_element and raw_element.lower() not in ("svg", "math")) or (name and not slash and name.lower() not in _INLINE):
+            return True
+    return any(parse(page))
+
+
 def _words(attributes: str) -> tuple[str, ...]:
     """Words of class, id and role; digits are dropped, as they number elements."""
     out: list[str] = []
@@ -197,9 +205,9 @@ def deduce(tokens: list[dict], pages: int) -> tuple[str, list[int]]:
         classes.setdefault(t["sig"], []).append(t)
     placed = {t["path"] for t in wide if t["kind"] == 0}
     nested = {s for s, own in classes.items() if all(t["kind"] or not t["path"].rpartition("/")[0] or t["path"].rpartition("/")[0] in placed for t in own)}
-    root = [t for s in nested for t in classes[s] if t["ones"] == pages and t["pages"] == pages]
-    blocks = sorted(t["token"] for t in root if t["kind"] == 1) if pages >= TEXT_PAGES else []
-    elements = [t for t in root if t["kind"] == 0 and t["chars"]]
+    valid = [t for s in nested for t in classes[s] if t["pages"] > 1]
+    blocks = sorted(t["token"] for t in valid if t["kind"] == 1)
+    elements = [t for t in valid if t["kind"] == 0 and t["chars"] and 2 * t["ones"] >= pages]
     plain = [t for t in elements if not _ruled_out(t["path"])]
     # names do not reach into an article: one within a named element is taken where none stands outside
     named = [t for t in elements if _is_main(t["path"]) and _ruled_out(t["path"])]
@@ -208,7 +216,7 @@ def deduce(tokens: list[dict], pages: int) -> tuple[str, list[int]]:
         plain, total = named, max(t["chars"] for t in named)
     inner = [t for t in plain if 10 * t["chars"] >= 7 * total]
     best = max(inner, key=lambda t: (_is_main(t["path"]), t["path"].count("/"), t["path"]), default=None)
-    return (best["path"] if best and pages > 1 else ""), blocks
+    return (best["path"] if best else ""), blocks
 
 
 def _is_main(path: str) -> bool:
@@ -224,7 +232,13 @@ def _ruled_out(path: str) -> bool:
 def templates(pages: DataFrame) -> DataFrame:
     """host, slot and template blocks of the hosts that differ from the default."""
     tokens = occurrences(pages)
-    sizes = pages.groupBy(F.col("host").alias("s_host")).agg(F.count("*").alias("of"))
+
+    def borne(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = Counter(h for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if bears(page))
+            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], names=["s_host", "of"])
+
+    sizes = pages.select("host", "html").mapInArrow(T.lean(borne), "s_host string, of long").groupBy("s_host").agg(F.sum("of").alias("of"))
     # on at least half of a host's pages: at most twice the tokens of a page, however many pages
     wide = tokens.join(sizes, F.col("host") == F.col("s_host")).filter(2 * F.col("pages") >= F.col("of")).drop("s_host")
 

@@ -279,6 +279,21 @@ def test_classes_decide_the_slot_on_hosts_with_articles(spark):
     assert got == {i: ("long text " * 20).strip() + f" {i}" for i in range(9)} | {100 + i: f"Whole text {i}" for i in range(9)}
 
 
+def test_odd_pages_do_not_void_a_host_template(spark):
+    whole = "<html><body><div class='top'>Site</div>{side}<div class='story'><p>Own text number {n} of this page</p></div></body></html>"
+    side = "<div class='extra'>Read our other pages</div>"
+    # one broken page, a sidebar on 18 of 20, pages without tokens; a host of two pages
+    rows = [(i, f"http://o.example/{i}", whole.format(n=i, side=side if i > 1 else "")) for i in range(20)]
+    rows += [(50, "http://o.example/x", "<p>error"), *[(60 + i, f"http://o.example/y{i}", h) for i, h in enumerate([None, "", " ", "<!-- -->"] * 10)]]
+    rows += [(200 + i, f"http://two.example/{i}", "<html><body><p>Welcome to us</p><p>Page %d</p></body></html>" % i) for i in range(2)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"Own text number {i} of this page" for i in range(20)) and got[50] == "error"
+    assert not any(got[60 + i] for i in range(40)) and [got[200], got[201]] == ["Page 0", "Page 1"]
+    # a sidebar within the slot, on most pages
+    tokens = [t | {"sig": t["token"]} for t in ({"path": p, "kind": k, "pages": n, "ones": n, "chars": c, "token": i} for i, (p, k, n, c) in enumerate([("/html", 0, 20, 90), ("/html/div.x", 0, 19, 85), ("", 1, 19, 0), ("", 1, 9, 0)]))]
+    assert html.deduce(tokens, 20) == ("/html/div.x", [2])
+
+
 def test_chroma_alignment(spark):
     from footfall.llm import chroma
 
