@@ -9,7 +9,7 @@ window on gives one packed 32-bit integer.
 Two recordings are aligned by the histogram of place differences of integers that agree in
 their upper ``KEY_BITS`` bits; the best differences are then judged by the share of bits that differ
 over the overlap. A stated set of query recordings is searched against all, in
-blocks of queries. Recordings with equal fingerprints are one class, of which one is searched.
+blocks of queries, and every pair of a query and a recording within the limits is reported. Recordings with equal fingerprints are one class, of which one is searched.
 
 Defined results: null, broken or too short audio has no integers and no match; repeated rows
 are rows of one class; extra columns are ignored; an empty table gives an empty result.
@@ -183,32 +183,39 @@ class Block:
         self.own = np.repeat(np.arange(len(size)), size)[order]
         self.place = (np.concatenate([np.arange(n) for n in size]) if size else np.zeros(0, np.int64))[order]
 
-    def best(self, name: int, ints: np.ndarray) -> tuple[int, int, int, float] | None:
-        """Query, offset, hits and bit error of the best alignment with another recording."""
+    def matches(self, name: int, ints: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """Query, offset, hits and bit error of every query's best alignment with another recording."""
         key = ints >> np.uint32(32 - KEY_BITS)
         lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         many = hi - lo
         if not many.any():
-            return None
+            return []
         at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         offset = self.place[at] - np.repeat(np.arange(len(ints)), many)
         cell, hits = np.unique(self.own[at] * (1 << 24) + offset + (1 << 23), return_counts=True)
-        found = None
+        found: dict[int, tuple[float, int, int]] = {}
         for c, n in zip(cell[hits >= LEAST_HITS].tolist(), hits[hits >= LEAST_HITS].tolist(), strict=True):
             q, off = c >> 24, (c & ((1 << 24) - 1)) - (1 << 23)
             if self.names[q] == name:
                 continue
             err = bit_error(ints, self.prints[q], off)
-            if err <= MOST_ERROR and (found is None or (err, -n, self.names[q], off) < (found[3], -found[2], found[0], found[1])):
-                found = (int(self.names[q]), off, n, err)
-        return found
+            if err <= MOST_ERROR and (q not in found or (err, -n, off) < found[q]):
+                found[q] = (err, -n, off)
+        return [(int(self.names[q]), off, -less, err) for q, (err, less, off) in found.items()]
+
+    def best(self, name: int, ints: np.ndarray) -> tuple[int, int, int, float] | None:
+        """The best of all queries' alignments."""
+        return min(self.matches(name, ints), key=lambda m: (m[3], -m[2], m[0], m[1]), default=None)
 
 
 def search(prints: DataFrame, queries, block: int = QUERY_BLOCK) -> DataFrame:
-    """Best query for every recording: key, class_id, match_id, match_offset, match_hits, bit_error.
+    """All alignments within the limits: key, class_id, match_id, match_offset, match_hits, bit_error, best.
 
     ``queries`` is a Column that is true for the rows to be searched for; a class of equal
-    fingerprints is searched once, under its least key.
+    fingerprints is searched once, under its least key. Every recording has one row with its best
+    match (``best``, no match_id where nothing aligns). Each further query class that aligns with a
+    class of recordings is one row more, under the class's least key and not ``best``; the
+    members of both classes are the rows with their class_id.
     """
     spark = prints.sparkSession
     named = prints.withColumn("h", F.xxhash64("ints")).withColumn("q", F.coalesce(queries, F.lit(False)))
@@ -225,22 +232,24 @@ def search(prints: DataFrame, queries, block: int = QUERY_BLOCK) -> DataFrame:
 
         def own(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = [shared.value.best(n, np.frombuffer(x, "<u4")) for n, x in zip(b.column("class_id").to_pylist(), b.column("ints").to_pylist(), strict=True)]
-                hit = [i for i, g in enumerate(got) if g]
+                got = [(i, *m) for i, (n, x) in enumerate(zip(b.column("class_id").to_pylist(), b.column("ints").to_pylist(), strict=True)) for m in shared.value.matches(n, np.frombuffer(x, "<u4"))]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("h").take(pa.array(hit, pa.int64())), pa.array([got[i][0] for i in hit], pa.int64()), pa.array([got[i][1] for i in hit], pa.int32()), pa.array([got[i][2] for i in hit], pa.int32()), pa.array([got[i][3] for i in hit], pa.float64())],
+                    [b.column("h").take(pa.array([g[0] for g in got], pa.int64())), *[pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64()), 1)]],
                     names=["h", "match_id", "match_offset", "match_hits", "bit_error"],
                 )
 
         found = found.unionByName(one.filter("octet_length(ints) > 0").select("h", "class_id", "ints").mapInArrow(T.lean(own), schema))
+    found = cut(found)
     order = F.struct("bit_error", (-F.col("match_hits")).alias("less"), "match_id", "match_offset", "match_hits")
     best = found.groupBy(F.col("h").alias("bh")).agg(F.min(order).alias("m"))
-    classes = one.select(F.col("h").alias("ch"), "class_id").join(best, F.col("ch") == F.col("bh"), "left")
-    return named.join(classes, F.col("h") == F.col("ch")).select("key", "class_id", "m.match_id", "m.match_offset", "m.match_hits", "m.bit_error", "ints")
+    classes = one.select(F.col("h").alias("ch"), "class_id", F.col("ints").alias("class_ints")).join(best, F.col("ch") == F.col("bh"), "left")
+    rows = named.join(classes.drop("class_ints"), F.col("h") == F.col("ch")).select("key", "class_id", "m.match_id", "m.match_offset", "m.match_hits", "m.bit_error", F.lit(True).alias("best"), "ints")
+    more = found.join(classes, (F.col("h") == F.col("ch")) & (F.col("match_id") != F.col("m.match_id")))
+    return rows.unionByName(more.select(F.col("class_id").alias("key"), "class_id", "match_id", "match_offset", "match_hits", "bit_error", F.lit(False).alias("best"), F.col("class_ints").alias("ints")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     media = with_audio(table(spark, sf_dir, "embeddings"))
     prints = cut(fingerprints(media))
     out = search(prints, F.col("key") % 100 == 0)
-    return out.select(F.col("key").alias("vec_id"), F.floor(F.octet_length("ints") / 4).cast("long").alias("n_ints"), F.crc32("ints").alias("ints_crc32"), "class_id", "match_id", "match_offset", "match_hits", "bit_error")
+    return out.select(F.col("key").alias("vec_id"), F.floor(F.octet_length("ints") / 4).cast("long").alias("n_ints"), F.crc32("ints").alias("ints_crc32"), "class_id", "match_id", "match_offset", "match_hits", "bit_error", "best")

@@ -310,3 +310,27 @@ def test_chroma_alignment(spark):
     assert out[101].class_id == 100 and len(out) == len(rows) and out[102].match_id is None
     broken = spark.createDataFrame([(1, b"RIFF"), (2, None), (3, b"x" * 50)], "key long, audio binary")
     assert [len(r.ints) for r in chroma.fingerprints(broken).collect()] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("block", [4096, 2])
+def test_chroma_reports_every_pair(spark, block):
+    from footfall.llm import chroma
+
+    rng = np.random.default_rng(3)
+    v = rng.uniform(-1, 1, 64)
+    rows = []
+    for k in range(1, 6):  # five queries, each with a recording beside it: near copies of one vector
+        for key in (100 * k, 100 * k + 1):
+            near = v.copy()
+            near[rng.integers(0, 64, 3)] = rng.uniform(-1, 1, 3)
+            rows.append((key, near.tolist()))
+    rows += [(602, rows[0][1]), (603, rng.uniform(-1, 1, 64).tolist())]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = chroma.search(chroma.fingerprints(chroma.with_audio(vec)), F.col("key") % 100 == 0, block).collect()
+    assert sorted(r.key for r in out if r.best) == sorted(k for k, _ in rows)
+    prints = {k: chroma.fingerprint(chroma.render(x)) for k, x in rows if k != 602}
+    want = {(k, q) for k in prints for q in range(100, 600, 100) if k != q and chroma.Block([q], [prints[q].astype("<u4").tobytes()]).best(k, prints[k])}
+    got = [(r.class_id, r.match_id) for r in out if r.match_id is not None and r.key != 602]
+    assert len(want) > 30 and set(got) == want and len(got) == len(want)
+    best = {r.key: r.bit_error for r in out if r.best}
+    assert all(r.bit_error >= best[r.key] for r in out if r.match_id is not None)
