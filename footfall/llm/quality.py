@@ -1,19 +1,23 @@
 """Cross-document line frequency (native: DataFrame functions only).
 
-Every line is normalised (words joined by one space, lower case) and hashed. For each
-host the distinct documents that hold a line are counted. Copies of a document must not
-make each other's prose look like boilerplate, so a document counts by its signature: the
-least MD5 among the hashes of its *other* lines. A line above the limits is removed, and a
-document that loses more than a stated share of its words is rejected.
-
-Defined results: null text is an empty text; a null host is a host of its own; documents
-that share id and text are one document; extra columns are ignored (``measure``) or kept
-(``clean``); an empty table gives an empty result.
-
-Scale: texts are read once and leave as counts and 16-byte line hashes. Counting is two
-partial aggregations. Lines above the limits are broadcast while they are few by count;
-beyond that, only the heaviest are (a line on 1/10,000 of all rows: at most 10,000 of
-them), and the others, none of which holds a larger share, are joined by shuffle.
+Every line is normalised (words joined by one space, lower case) and hashed. For each host the
+distinct documents that hold a line are counted; documents whose whole normalised texts
+are equal are one document there, so that copies cannot make prose look like boilerplate. A line
+that stands in at least ``MIN_DOCS`` documents and in more than ``MIN_SHARE`` of the host's is removed, and a document
+that loses more than ``MAX_LOSS`` of its words is rejected. Passages that fewer documents of a host
+share, and near copies, are left to the operators made for them.
+
+Defined results: null text is an empty text; a null host is a host of its own; every row has a
+verdict of its own, which depends on its text and host alone, so repeated rows, null ids and ties
+agree; texts of one line are documents like others; a very long text is worked on whole, within
+one row of the JVM; extra columns, whatever their names, are ignored (``measure``) or kept (``clean``);
+an empty table gives an empty result. Lines and documents are told apart by 64-bit hashes.
+
+Scale: texts are read once and leave as counts and 8-byte line hashes. Counting is two
+partial aggregations, keyed by host, line and document first, so that a hot host or line is spread.
+Lines above the limits are broadcast while they are few by count; beyond that, only the heaviest
+are (a line on 1/10,000 of all line rows: at most 10,000 of them), and the others, none of which
+holds a larger share, are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from footfall.llm.common import WORD, cut
 
-#: A line is removed above both: distinct documents on the host, share of the host's documents.
-MIN_DOCS, MIN_SHARE = 10, 0.005
+#: A line is removed at both: least distinct documents on the host, share of the host's distinct documents.
+MIN_DOCS, MIN_SHARE = 10, 0.05
 #: A document is rejected if more than this share of its words goes.
 MAX_LOSS = 0.5
 #: Base rules: least words, largest percentage of words in repeated 3-word windows.
@@ -62,8 +66,8 @@ def _lines(text: Column) -> Column:
 
 
 def normal_hash(words: Column) -> Column:
-    """MD5 of a line's normal form."""
-    return F.md5(F.lower(F.array_join(words, " ")).cast("binary"))
+    """Hash of a line's or a text's normal form."""
+    return F.xxhash64(F.lower(F.array_join(words, " ")))
 
 
 def measure(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -76,13 +80,14 @@ def measure(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str
     stats = docs.select(
         F.col(doc).alias("doc_id"),
         F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_key"),
-        F.col(host).alias("host"),
+        F.col(host).cast("string").alias("host"),
         let(
             _lines(body),
             lambda ls: F.struct(
                 let(
                     F.flatten(ls["words"]),
                     lambda ws: F.struct(
+                        normal_hash(ws).alias("whole"),
                         F.size(ws).cast("long").alias("n_words"),
                         F.aggregate(ws, F.lit(0), lambda a, w: a + F.char_length(w)).cast("long").alias("word_chars"),
                         _repeats(ws).cast("long").alias("n_repeat_words"),
@@ -93,50 +98,39 @@ def measure(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str
             ),
         ).alias("s"),
         F.regexp_count(body, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-    ).select("doc_id", "text_key", "host", "s.w.*", "s.n_dup_lines", "n_symbols", "s.lines")
-    base = cut(stats)
-    held = base.select(
-        "doc_id",
-        "text_key",
-        "host",
-        F.array_min("lines.line").alias("least"),
-        F.col("lines"),
-    ).withColumn("second", F.array_min(F.filter(F.col("lines")["line"], lambda h: h != F.col("least"))))
-    held = held.select("doc_id", "text_key", "host", F.explode("lines").alias("l"), "least", "second").select(
-        "doc_id", "text_key", "host", F.col("l.line").alias("line"), F.col("l.words").alias("words"), F.when(F.col("l.line") == F.col("least"), F.col("second")).otherwise(F.col("least")).alias("sig")
     )
-    counts = held.groupBy("host", "line", "sig").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_DOCS)
-    sizes = base.groupBy("host").agg(F.count("*").alias("of"))
-    frequent = cut(counts.join(sizes, counts["host"].eqNullSafe(sizes["host"])).filter(F.col("n") > MIN_SHARE * F.col("of")).select(F.coalesce(counts["host"], F.lit("")).alias("f_host"), counts["host"].isNull().alias("f_null"), F.col("line").alias("f_line"), "n"))
-    held = held.select("doc_id", "text_key", F.coalesce("host", F.lit("")).alias("f_host"), F.col("host").isNull().alias("f_null"), F.col("line").alias("f_line"), "words")
+    base = cut(stats.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "host", "s.w.*", "s.n_dup_lines", "n_symbols", "s.lines"))
+    host_key = [F.coalesce("host", F.lit("")).alias("f_host"), F.col("host").isNull().alias("f_null")]
+    held = base.select("row", *host_key, "whole", F.explode("lines").alias("l")).select("row", "f_host", "f_null", "whole", F.col("l.line").alias("f_line"), F.col("l.words").alias("words"))
     keys = ["f_host", "f_null", "f_line"]
-    found = frequent.count()
-    if found <= BROADCAST_LINES:
-        hit = held.join(F.broadcast(frequent), keys)
+    counts = held.groupBy(*keys, "whole").agg(F.count("*").alias("c")).groupBy(*keys).agg(F.count("*").alias("n"), F.sum("c").alias("c")).filter(F.col("n") >= MIN_DOCS)
+    sizes = base.select(*host_key, "whole").groupBy("f_host", "f_null", "whole").agg(F.lit(1).alias("one")).groupBy("f_host", "f_null").agg(F.count("*").alias("of"))
+    frequent = cut(counts.join(sizes, ["f_host", "f_null"]).filter(F.col("n") > MIN_SHARE * F.col("of")).select(*keys, "c"))
+    if frequent.count() <= BROADCAST_LINES:
+        hit = held.join(F.broadcast(frequent.select(*keys)), keys)
     else:
         heavy = held.count() // HEAVY
-        top = F.broadcast(frequent.filter(F.col("n") >= heavy))
-        hit = held.join(top, keys).unionByName(held.join(top, keys, "left_anti").join(frequent.filter(F.col("n") < heavy), keys))
-    lost = hit.groupBy(F.col("doc_id").alias("l_doc"), F.col("text_key").alias("l_key")).agg(F.sum("words").cast("long").alias("lost"), F.collect_set("f_line").alias("lines_out"))
-    rows = base.join(lost, base["doc_id"].eqNullSafe(lost["l_doc"]) & (base["text_key"] == lost["l_key"]), "left")
-    # documents that share id and text were counted together
-    copies = base.groupBy(F.col("doc_id").alias("c_doc"), F.col("text_key").alias("c_key")).agg(F.count("*").alias("copies")).filter("copies > 1")
-    rows = rows.join(copies, rows["doc_id"].eqNullSafe(copies["c_doc"]) & (rows["text_key"] == copies["c_key"]), "left")
-    removed = (F.coalesce(F.col("lost"), F.lit(0)) / F.coalesce(F.col("copies"), F.lit(1))).cast("long")
+        top = F.broadcast(frequent.filter(F.col("c") >= heavy).select(*keys))
+        hit = held.join(top, keys).unionByName(held.join(top, keys, "left_anti").join(frequent.filter(F.col("c") < heavy).select(*keys), keys))
+    lost = hit.groupBy("row").agg(F.sum("words").cast("long").alias("lost"), F.collect_set("f_line").alias("lines_out"))
+    rows = base.join(lost, "row", "left")
+    removed = F.coalesce(F.col("lost"), F.lit(0)).cast("long")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT * F.col("n_words"))
     return rows.select(
         "doc_id", "text_key", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), removed.alias("removed_words"),
-        F.coalesce("lines_out", F.array().cast("array<string>")).alias("removed_lines"), (~failed & (removed <= MAX_LOSS * F.col("n_words"))).alias("kept"),
+        F.coalesce("lines_out", F.array().cast("array<long>")).alias("removed_lines"), (~failed & (removed <= MAX_LOSS * F.col("n_words"))).alias("kept"),
     )
 
 
 def clean(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The documents that stay, without the removed lines; all columns of ``docs``."""
-    verdict = measure(docs, doc, text, host).filter("kept").groupBy(F.col("doc_id").alias("_v_doc"), F.col("text_key").alias("_v_key")).agg(F.first("removed_lines").alias("_v_lines"))
-    key = F.coalesce(F.xxhash64(docs[text]), F.lit(0))
-    kept = docs.join(verdict, docs[doc].eqNullSafe(verdict["_v_doc"]) & (key == verdict["_v_key"]))
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda s: ~F.array_contains(F.col("_v_lines"), normal_hash(F.regexp_extract_all(s, F.lit(WORD), F.lit(0))))), "\n")
-    return kept.select(*[F.when(F.size("_v_lines") == 0, docs[c]).otherwise(rest).alias(c) if c == text else docs[c] for c in docs.columns])
+    own = measure(docs, doc, text, host).filter("kept")
+    verdict = own.groupBy(F.col("doc_id").alias("_v_doc"), F.col("text_key").alias("_v_key"), F.col("host").alias("_v_host")).agg(F.first("removed_lines").alias("_v_lines"))
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)}
+    kept = docs.toDF(*names).join(verdict, at[doc].eqNullSafe(F.col("_v_doc")) & at[host].cast("string").eqNullSafe(F.col("_v_host")) & (F.coalesce(F.xxhash64(at[text]), F.lit(0)) == F.col("_v_key")))
+    rest = F.array_join(F.filter(F.split(at[text], "\n"), lambda s: ~F.array_contains(F.col("_v_lines"), normal_hash(F.regexp_extract_all(s, F.lit(WORD), F.lit(0))))), "\n")
+    return kept.select(*[F.when(F.size("_v_lines") == 0, at[c]).otherwise(rest).alias(c) if c == text else at[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -151,12 +145,11 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, source, row_number() OVER () AS lid, l, regexp_extract_all(l, '{WORD}') AS ws
       FROM (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS l FROM d)),
 lw AS (SELECT doc_id, source, l, len(ws) AS n, md5(lower(array_to_string(ws, ' '))) AS h FROM l WHERE len(ws) > 0),
-two AS (SELECT doc_id, list_sort(list_distinct(list(h))) AS hs FROM lw GROUP BY doc_id),
-sg AS (SELECT lw.*, CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END AS sig FROM lw JOIN two USING (doc_id)),
-sz AS (SELECT source, count(*) AS hosted FROM d GROUP BY source),
-fr AS (SELECT source, h, count(*) AS n FROM (SELECT DISTINCT source, h, sig FROM sg) GROUP BY source, h),
-bad AS (SELECT fr.source, h FROM fr JOIN sz USING (source) WHERE n >= {MIN_DOCS} AND n > {MIN_SHARE} * hosted),
-lost AS (SELECT doc_id, sum(n)::BIGINT AS lost FROM lw JOIN bad USING (source, h) GROUP BY doc_id),
+wh AS (SELECT doc_id, source, md5(lower(array_to_string(regexp_extract_all(t, '{WORD}'), ' '))) AS whole FROM d),
+sz AS (SELECT source, count(DISTINCT whole) AS of_host FROM wh GROUP BY source),
+fr AS (SELECT lw.source, h, count(DISTINCT whole) AS docs FROM lw JOIN wh USING (doc_id) GROUP BY lw.source, h),
+bad AS (SELECT fr.source, h FROM fr JOIN sz ON fr.source IS NOT DISTINCT FROM sz.source WHERE docs >= {MIN_DOCS} AND docs > {MIN_SHARE} * of_host),
+lost AS (SELECT lw.doc_id, sum(n)::BIGINT AS lost FROM lw JOIN bad ON lw.h = bad.h AND lw.source IS NOT DISTINCT FROM bad.source GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup FROM lw GROUP BY doc_id),
 wd AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{WORD}') AS ws FROM d)),
 g AS (SELECT doc_id, i, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM wd WINDOW p AS (PARTITION BY doc_id ORDER BY i)),

@@ -147,6 +147,27 @@ def test_line_frequency(spark, corpus):
     assert quality.measure(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_shared_lines_count_by_document_whatever_else_they_hold(spark):
+    rows = []
+    for h in range(20):
+        shared = [f"shared line {h} {k} of every page" for k in range(40)]
+        rows += [(h * 1000 + i, "\n".join([*shared, f"own words {h} {i} and a few more"]), f"h{h}") for i in range(300)]
+        rows += [(h * 1000 + 300 + i, shared[i], f"h{h}") for i in range(5)]
+    got = quality.measure(frame(spark, rows)).collect()
+    assert all(len(r.removed_lines) == (40 if r.doc_id % 1000 < 300 else 1) and not r.kept for r in got) and len(got) == len(rows)
+
+
+def test_line_frequency_rows_of_one_id_are_judged_each(spark):
+    prose = [(50 + i, f"{rng_text(i, 70)}\nthe host footer", "a") for i in range(30)]
+    odd = [(1, prose[0][1], "a"), (1, prose[0][1], "b"), (1, prose[0][1], "a"), (1, rng_text(8, 60), "a"), (None, prose[1][1], "a"), (None, None, None), (2, "x " * (1 << 20), None)]
+    docs = spark.createDataFrame([(d, t, s, 1, 2, "n", "w") for d, t, s in prose + odd], "doc_id long, text string, source string, row int, c int, host string, whole string")
+    got = Counter((r.doc_id, r.host, r.n_words, r.removed_words) for r in quality.measure(docs).collect() if r.doc_id is None or r.doc_id < 50)
+    assert got == {(1, "a", 73, 3): 2, (1, "b", 73, 0): 1, (1, "a", 60, 0): 1, (None, "a", 73, 3): 1, (None, None, 0, 0): 1, (2, None, 1 << 20, 0): 1}
+    kept = quality.clean(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect() if r.doc_id is None or r.doc_id < 50) == {1: 4, None: 1}
+
+
 def test_shards_are_even_and_gapless(spark, corpus):
     rows = corpus + [(9000 + i, "copy of one text " * 20, "h") for i in range(150)]
     out = sharding.assign(frame(spark, rows), 4).collect()
