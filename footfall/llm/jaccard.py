@@ -87,22 +87,22 @@ def _distinct(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def classes(docs: DataFrame, doc: str, text: str, width: int, hot: int = HOT_CLASSES) -> DataFrame:
-    """doc_id, sid (of equal sets), n (size of the set); and rows (token, c) for shingles that are hot in a slice."""
-    src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """doc_id, text_key, sid (of equal sets), n (size of the set); and rows (token, c) for shingles that are hot in a slice."""
+    src = docs.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("text_key"), F.col(text).alias("text"))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in T.slices(batches):
             key, at = _sets(b.column("text"), width)
             sign, size, one = _distinct(key, at)
             n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sign.view(np.int64)), pa.array(size, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(sign.view(np.int64)), pa.array(size, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=names)
             token, count = np.unique(T.gather(key, at[one], size[one]) & _LOW48, return_counts=True)
             token, count = token[count >= hot], count[count >= hot]
             m = len(token)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.array(token.view(np.int64)), pa.array(count, pa.int64())], names=names)
 
-    names = ["doc_id", "sid", "n", "token", "c"]
-    return src.mapInArrow(T.lean(own), "doc_id long, sid long, n long, token long, c long")
+    names = ["doc_id", "text_key", "sid", "n", "token", "c"]
+    return src.mapInArrow(T.lean(own), "doc_id long, text_key long, sid long, n long, token long, c long")
 
 
 def _flat(column, kind) -> np.ndarray:
@@ -293,8 +293,12 @@ def few(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16))
 
 
-def components(edges: DataFrame, rounds: int = 40, local: int = LOCAL_LINKS) -> DataFrame:
-    """node and root (the least node of its component) of all nodes that are no roots."""
+def components(edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+    """node and root (the least node of its component) of all nodes that are no roots.
+
+    The rounds of joins end when the links stay the same, at the latest after about the square of the logarithm of the
+    nodes.
+    """
     now = cut(few(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()))
     if now.count() <= local:
         return now.coalesce(1).mapInArrow(T.lean(_grouped), "node long, root long")
@@ -310,7 +314,7 @@ def components(edges: DataFrame, rounds: int = 40, local: int = LOCAL_LINKS) ->
         return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
     before = None
-    for _ in range(rounds):
+    while True:
         now = cut(small(large(now)))
         state = now.agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
         if (state["c"], state["h"]) == before:
@@ -396,9 +400,12 @@ def _with_roots(stars: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, local: int = LOCAL_LINKS, hot: int = HOT_CLASSES) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``; ids are whole numbers."""
+    """doc_id, n_shingles, component_id, text_key (hash of the text) and group (null for empty sets) of every row.
+
+    Ids are whole numbers; a null id belongs to its group but never names it.
+    """
     both = cut(classes(docs, doc, text, width, hot))
-    own = both.filter("token IS NULL").select("doc_id", "sid", "n")
+    own = both.filter("token IS NULL").select("doc_id", "text_key", "sid", "n")
     total = own.agg(F.sum("n").alias("n")).first()["n"] or 0
     spark = docs.sparkSession
     buckets = max(spark.sparkContext.defaultParallelism, int(total // BUCKET_ROWS) + 1)
@@ -408,8 +415,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     grouped = own.join(roots.withColumnRenamed("sid", "r_sid"), F.col("sid") == F.col("r_sid"), "left").withColumn("g", F.when(F.col("n") > 0, F.coalesce("root", "sid")))
     least = grouped.filter("g is not null").groupBy(F.col("g").alias("l_g")).agg(F.min("doc_id").alias("least"))
     out = grouped.join(least, F.col("g") == F.col("l_g"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "text_key", F.col("g").alias("group"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -17,7 +17,8 @@ byte for byte by a hash of the whole window.
 
 Defined results: null text is empty; matches never cross documents; repeated rows are
 occurrences of each other, so a text of ``least`` bytes or more that stands twice goes
-altogether; extra columns are ignored; an empty table gives an empty result.
+altogether; null ids are kept; extra columns are ignored or carried, whatever their names; an empty table
+gives an empty result. A text longer than a slice is hashed on its own, with about 60 bytes of memory for each of its bytes.
 
 Scale: texts are read once for anchors (about one row of 36 bytes per 190 bytes of text). Only
 texts that a bitmap of fixed size lets through are shuffled, compressed: once to cut out stretches, once
@@ -344,14 +345,14 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     Columns: _id, _bytes (of the input), _rest (the bytes left), _clean (these as text, less
     characters that a removed span cut in two), _begins, _ends.
     """
-    named = [F.col(c) for c in carry or []]
+    names = [f"_carry{k}" for k in range(len(carry or []))]
+    named = [F.col(c).alias(n) for c, n in zip(carry or [], names, strict=True)]
     body = docs.select(F.col(doc).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_x"), *named)
     found = spans(body.select(F.col("_x").alias("x"), F.col("_text").alias("text")), least, hot_bytes)
     by_text = cut(found.groupBy(F.col("x").alias("_sx")).agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi")))
     sieve = Sieve(by_text, "_sx")
     hit = _squeezed(body, "_text", sieve, "_x").join(by_text, F.col("_x") == F.col("_sx"), "left")
     rest = body.withColumns({"_lo": F.lit(None).cast("array<int>"), "_hi": F.lit(None).cast("array<int>")})
-    names = list(carry or [])
 
     def cutter(squeezed: bool):
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +378,8 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
 
     kinds = {f.name: f.dataType.simpleString() for f in body.schema.fields}
     schema = f"_id {kinds['_id']}, _bytes long, _rest binary, _clean string, _begins array<long>, _ends array<long>" + "".join(f", `{c}` {kinds[c]}" for c in names)
-    return hit.drop("_sx").mapInArrow(T.lean(cutter(True)), schema).unionByName(rest.mapInArrow(T.lean(cutter(False)), schema))
+    out = hit.drop("_sx").mapInArrow(T.lean(cutter(True)), schema).unionByName(rest.mapInArrow(T.lean(cutter(False)), schema))
+    return out.toDF(*[c for c in out.columns if c not in names], *(carry or []))
 
 
 def _without(body: bytes, lo, hi, least: int) -> tuple[bytes, list[int], list[int]]:
