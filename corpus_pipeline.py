@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from footfall.llm import jaccard, packing, quality, repeats, toxicity
-from footfall.llm.common import table
+from footfall.llm.common import stored, table
+
+#: Least bytes of a repeated string that the pipeline removes: a passage of over 50 words is hardly ever shorter.
+PASSAGE = 250
 
 
 def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -34,17 +37,33 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id stays of each group; rows without id stay as they are."""
-    first = jaccard.join(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.dropDuplicates(["doc_id"]) if docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count() else docs
-    stay = kept.join(first, F.col("doc_id") == F.col("_first"), "left_semi").select(*docs.columns)
-    return stay.unionByName(docs.filter("doc_id IS NULL").select(*docs.columns))
+    """One document of each group stays: that with the least id, and of equal ids that with the least text hash.
+
+    A null id comes after all others. Texts without words are in no group and stay. Rows that
+    agree in id and text are copies of each other, of which the one with the least hash of all columns stays; an
+    id that stands on different texts is judged text by text.
+    """
+    key = F.coalesce(F.xxhash64(docs["text"]), F.lit(0))
+    told = stored(jaccard.join(docs))
+    first = told.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s")).select("s.doc_id", "s.text_key", F.lit(True).alias("one"))
+    stay = first.unionByName(told.filter("group IS NULL").select("doc_id", "text_key", F.lit(False).alias("one")).distinct()).toDF("_stay_doc", "_stay_key", "_stay_one")
+    again = told.filter("group IS NOT NULL").groupBy("doc_id", "text_key").count().filter("count > 1").select(F.col("doc_id").alias("_again_doc"), F.col("text_key").alias("_again_key"))
+    kept = docs.join(stay.select("_stay_doc", "_stay_key"), docs["doc_id"].eqNullSafe(F.col("_stay_doc")) & (key == F.col("_stay_key")), "left_semi")
+    if again.isEmpty():
+        return kept
+    twice = kept["doc_id"].eqNullSafe(F.col("_again_doc")) & (key == F.col("_again_key"))
+    rows = F.struct(*[kept[c] for c in kept.columns])
+    single = kept.join(again, twice, "left_semi").select(key.alias("k"), rows.alias("r")).groupBy("r.doc_id", "k").agg(F.min_by("r", F.xxhash64(F.to_json("r"))).alias("r"))
+    return kept.join(again, twice, "left_anti").unionByName(single.select("r.*"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of long strings that stand elsewhere too are removed."""
+    """Bytes of strings of at least PASSAGE bytes that stand elsewhere too are removed; every row stays.
+
+    A text none of which repeats stays as it is, null included; one that repeats as a whole becomes empty.
+    """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = repeats.dedup(docs, carry=carry).withColumnsRenamed({"_id": "doc_id", "_clean": "text"})
+    out = repeats.dedup(docs, carry=carry, least=PASSAGE).withColumnsRenamed({"_id": "doc_id", "_clean": "text"})
     return _recounted(out, docs.columns)
 
 
