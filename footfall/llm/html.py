@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is read as tokens: opening tags with the path of their enclosing elements, and text
+A page is read as tokens: opening tags with the path of their enclosing elements (as a chained hash), and text
 blocks with theirs. Over all pages of a host, each token has a vector of how often it occurs
 on each page. Tokens that share a vector are an equivalence class; vectors are compared by a
 fingerprint (the exclusive or of hashes of page and count), which partial aggregation can build, so no
@@ -18,7 +18,9 @@ of a valid class, wherever it occurs, unless it stands in an article element.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; a
 page without any article element gives the text outside the excluded elements; repeated rows
-count as pages of their own; an empty table gives an empty result.
+count as pages of their own; equally good slots are told apart by depth and id; extra columns are
+ignored; an empty table gives an empty result. A page is parsed in time linear in its length, and
+held whole in a worker.
 """
 
 from __future__ import annotations
@@ -38,11 +40,14 @@ from footfall.llm.common import cut, table
 #: Template rows (one for a host that differs from the default) that are broadcast at most.
 BROADCAST_HOSTS = 20_000
 
+#: One token at a place. Every alternative but a tag ends by itself, and a tag gives nothing back.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|canvas|math)\b(?:[^'\"<>]++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^'\"<>]++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^<>]*+>?|[^<]++",
     re.S | re.I,
 )
+_MARK = re.compile(r"[\"'<>]")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements within a line: they part no words.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -57,21 +62,75 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _MAIN = ("article", "main")
+#: Elements that make up an article, and are no slot for one.
+_WITHIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figure figcaption".split())
 
 
 class Block:
-    """A stretch of text between block tags, with the path of its element and the depth of the innermost element that a name rules out (0: none)."""
-
-    __slots__ = ("path", "text", "out", "main")
-
-    def __init__(self, path: str, text: str, out: int, main: bool):
-        self.path, self.text, self.out, self.main = path, text, out, main
+    """A stretch of text between block tags: id of its element, depth of the innermost element that a name rules out (0: none), whether it lies in an article element, and whether in the slot looked for."""
+
+    __slots__ = ("inside", "main", "out", "path", "text")
+
+    def __init__(self, path: int, text: str, out: int, main: bool, inside: bool):
+        self.path, self.text, self.out, self.main, self.inside = path, text, out, main, inside
+
+
+class Element:
+    """An open element: id of its path (a hash of its parent's and its own step), and what holds for the text in it."""
+
+    __slots__ = ("barred", "chars", "inside", "main", "name", "named", "out", "parent", "path", "within")
+
+    def __init__(self, name: str, path: int, parent: int, named: bool, out: int, main: bool, barred: bool, within: bool, inside: bool):
+        self.name, self.path, self.parent, self.named, self.out = name, path, parent, named, out
+        self.main, self.barred, self.within, self.inside, self.chars = main, barred, within, inside, 0
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where a tag that is open in front of a mark (quote or angle) ends, by the mark's place; found from the last to the first in one pass."""
+    marks = [(m.start(), m.group()) for m in _MARK.finditer(page)]
+    ends: dict[int, int] = {}
+    after, quote = -1, {'"': None, "'": None}  # where the mark behind leads, and what follows the next quote of a kind
+    for at, mark in reversed(marks):
+        if mark in quote:
+            here = quote[mark] if quote[mark] is not None else -1
+            quote[mark] = after
+        else:
+            here = at if mark == ">" else -1
+        ends[at] = after = here
+    return ends
+
+
+def _tokens(page: str) -> Iterator[tuple[str | None, str, str, str, str]]:
+    """Raw element, slash, name, attributes and text of each token, in time linear in the page.
+
+    A tag that is never closed is text. Only the first of these is searched for its end character by character; from
+    then on the ends of all tags are known from one pass.
+    """
+    at, size, ends, marks = 0, len(page), None, None
+    while at < size:
+        if ends is not None and page[at] == "<" and (tag := _TAG.match(page, at)):
+            mark = _MARK.search(page, tag.end())
+            if mark is None or ends[mark.start()] < 0:
+                yield None, "", "", "", "<"
+                at += 1
+                continue
+        m = _TOKEN.match(page, at)
+        if m is None:  # a tag without an end, or an angle that opens none
+            if ends is None and _TAG.match(page, at):
+                ends = _ends(page)
+            yield None, "", "", "", "<"
+            at += 1
+            continue
+        raw, slash, name, rest = m.groups()
+        yield raw, slash or "", name or "", rest or "", "" if raw or name or m.group()[0] == "<" else m.group()
+        at = m.end()
 
 
-def parse(page: str) -> tuple[list[str], list[Block]]:
-    """Paths of all opening tags, and the text blocks in page order."""
-    opened: list[tuple[str, str, int, bool]] = [("", "", 0, False)]  # tag, path, depth of the innermost ruled out, within article or main
-    tags: list[str] = []
+def parse(page: str, slot: int = 0) -> tuple[dict[int, list], list[Block]]:
+    """Elements by id (times, characters of text, parent, depth, article or main, no slot by name), and the text blocks in page order."""
+    opened = [Element("", 0, 0, False, 0, False, False, False, False)]
+    many: Counter[str] = Counter()
+    tags: dict[int, list] = {}
     blocks: list[Block] = []
     run: list[str] = []
 
@@ -80,22 +139,38 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
             text = " ".join(entities.unescape("".join(run)).split())
             run.clear()
             if text:
-                _, path, out, main = opened[-1]
-                blocks.append(Block(path, text, out, main))
+                e = opened[-1]
+                e.chars += len(text)
+                blocks.append(Block(e.path, text, e.out, e.within, e.inside))
+
+    def pop() -> None:
+        e = opened.pop()
+        many[e.name] -= 1
+        tags[e.path][1] += e.chars
+        if not e.named:  # text counts for each element that holds it with nothing ruled out between them
+            opened[-1].chars += e.chars
 
     def close(to: int) -> None:
         flush()
-        del opened[to:]
-
-    for m in _TOKEN.finditer(page):
-        raw_element, slash, name, rest = m.groups()
-        if raw_element:
-            if raw_element.lower() not in ("svg", "math"):
-                tags.append(f"{opened[-1][1]}/{raw_element.lower()}")
+        while len(opened) > to:
+            pop()
+
+    def open_(name: str, words: tuple[str, ...], named: bool, stays: bool = True) -> None:
+        above = opened[-1]
+        path, main, depth = _hash(f"{above.path}/{name}" + "".join("." + w for w in words)), name in _MAIN, len(opened)
+        barred = above.barred or named
+        tags.setdefault(path, [0, 0, above.path, depth, main, barred or name in _WITHIN])[0] += 1
+        if stays:
+            many[name] += 1
+            opened.append(Element(name, path, above.path, named, depth if named else above.out, main, barred, above.within or main, above.inside or path == slot))
+
+    for raw, slash, name, rest, text in _tokens(page):
+        if raw:
+            if raw.lower() not in ("svg", "math"):
+                open_(raw.lower(), (), False, stays=False)
             continue
-        if name is None:
-            text = m.group()
-            if not text.startswith("<") or text == "<":
+        if not name:
+            if text:
                 run.append(text)
             continue
         name = name.lower()
@@ -104,41 +179,29 @@ def parse(page: str) -> tuple[list[str], list[Block]]:
                 words = _words(rest) if rest else ()
                 if any(w in _OUT_NAMES for w in words):
                     flush()
-                    opened.append((name, f"{opened[-1][1]}/{name}.{'.'.join(words)}", len(opened), opened[-1][3]))
-            elif slash and opened[-1][0] == name:
+                    open_(name, words, True)
+            elif slash and opened[-1].name == name:
                 close(len(opened) - 1)
             continue
+        flush()
         if slash:
-            for k in range(len(opened) - 1, 0, -1):
-                if opened[k][0] == name:
-                    close(k)
-                    break
-            else:
-                flush()
+            if many[name] > 0:
+                while opened[-1].name != name:
+                    pop()
+                pop()
             continue
-        flush()
         shut = _CLOSES.get(name, frozenset())
-        while len(opened) > 1 and (opened[-1][0] in shut or (opened[-1][0] == "p" and name in _ENDS_P)):
-            opened.pop()
+        while len(opened) > 1 and (opened[-1].name in shut or (opened[-1].name == "p" and name in _ENDS_P)):
+            pop()
         words = _words(rest) if rest else ()
-        path = f"{opened[-1][1]}/{name}" + "".join("." + w for w in words)
-        tags.append(path)
-        if name in _VOID or rest.endswith("/"):
-            continue
-        named = name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words))
-        out = len(opened) if named else opened[-1][2]
-        opened.append((name, path, out, opened[-1][3] or name in _MAIN))
-    flush()
+        open_(name, words, _names_out(name, words), stays=name not in _VOID and not rest.endswith("/"))
+    close(1)
     return tags, blocks
 
 
-def bears(page: str) -> bool:
-    """Whether a page has any token."""
-    for m in _TOKEN.finditer(page):
-        raw_element, slash, name, _ = m.groups()
-        if (raw_element and raw_element.lower() not in ("svg", "math")) or (name and not slash and name.lower() not in _INLINE):
-            return True
-    return any(parse(page))
+def _names_out(name: str, words: tuple[str, ...]) -> bool:
+    """Whether an element holds no article text by its tag or a word of its class, id or role."""
+    return name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words))
 
 
 def _words(attributes: str) -> tuple[str, ...]:
@@ -159,115 +222,101 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+#: Kinds of counted tokens: elements, text blocks, and one token for each page that has any.
+ELEMENT, TEXT, PAGE = 0, 1, 2
+_COUNTED = ["host", "token", "kind", "parent", "depth", "main", "barred", "pages", "ones", "sig", "chars"]
+
+
 def occurrences(pages: DataFrame) -> DataFrame:
-    """Tokens of every host: kind, pages that have it, fingerprint of its vector, and of the vector of ones; text in characters."""
-    schema = "host string, token long, path string, kind int, pages long, ones long, sig long, flat long, chars long"
+    """Tokens of every host that stand on two pages or more, and one row (kind PAGE) for the host's pages.
+
+    For each: pages that have it, pages that have it once, fingerprint of its vector, and text in characters.
+    """
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple, list] = {}
-            for i, (host, key, page) in enumerate(zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html").to_pylist(), strict=True)):
+            for host, key, page in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("html").to_pylist(), strict=True):
                 tags, blocks = parse(page)
-                counts: dict[tuple, list] = {}
-                for t in tags:
-                    counts.setdefault((_hash("<" + t), t, 0), [0, 0])[0] += 1
-                for x in blocks:
-                    c = counts.setdefault((_hash("#" + x.path + "#" + x.text), "", 1), [0, 0])
-                    c[0] += 1
-                    # text counts for each element that holds it with nothing ruled out between them
-                    path = x.path
-                    while path and path.count("/") >= x.out:
-                        counts.setdefault((_hash("<" + path), path, 0), [0, 0])[1] += len(x.text)
-                        path = path.rpartition("/")[0]
-                for (token, path, kind), (n, chars) in counts.items():
-                    row = seen.setdefault((host, token, path, kind), [0, 0, 0, 0, 0])
+                if not tags and not blocks:
+                    continue
+                found = [(token, ELEMENT, above, depth, main, barred, n, chars) for token, (n, chars, above, depth, main, barred) in tags.items()]
+                found += [(token, TEXT, 0, 0, False, False, n, 0) for token, n in Counter(_block(x) for x in blocks).items()]
+                for token, kind, above, depth, main, barred, n, chars in [*found, (0, PAGE, 0, 0, False, False, 1, 0)]:
+                    row = seen.setdefault((host, token, kind, above, depth, main, barred), [0, 0, 0, 0])
                     row[0] += 1
                     row[1] += n == 1
                     row[2] ^= _hash(f"{key} {n}")
-                    row[3] ^= _hash(f"{key} 1")
-                    row[4] += chars
+                    row[3] += chars
             if seen:
-                keys, rows = zip(*seen.items(), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[3] for k in keys], pa.int32()), *[pa.array([r[j] for r in rows], pa.int64()) for j in range(5)]],
-                    names=["host", "token", "path", "kind", "pages", "ones", "sig", "flat", "chars"],
-                )
+                keys, rows = list(zip(*seen, strict=True)), list(zip(*seen.values(), strict=True))
+                kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip([*keys, *rows], kinds, strict=True)], names=_COUNTED)
+
+    rows = pages.select("host", "key", "html").mapInArrow(T.lean(own), "host string, token long, kind int, parent long, depth int, main boolean, barred boolean, pages long, ones long, sig long, chars long")
+    fixed = [F.max(c).alias(c) for c in ("parent", "depth", "main", "barred")]
+    total = rows.groupBy("host", "kind", "token").agg(*fixed, F.sum("pages").alias("pages"), F.sum("ones").alias("ones"), F.bit_xor("sig").alias("sig"), F.sum("chars").alias("chars"))
+    return total.filter((F.col("pages") > 1) | (F.col("kind") == PAGE)).select(*_COUNTED)
+
 
-    rows = pages.select("host", "key", "html").mapInArrow(T.lean(own), schema)
-    return rows.groupBy("host", "token").agg(F.max("path").alias("path"), F.max("kind").alias("kind"), F.sum("pages").alias("pages"), F.sum("ones").alias("ones"), F.bit_xor("sig").alias("sig"), F.bit_xor("flat").alias("flat"), F.sum("chars").alias("chars"))
+def _block(b: Block) -> int:
+    return _hash(f"#{b.path}#{b.text}")
 
 
-def deduce(tokens: list[dict], pages: int) -> tuple[str, list[int]]:
-    """Path of the article slot ('' for the default), and template text blocks, from one host's tokens."""
-    wide = [t for t in tokens if 2 * t["pages"] >= pages]
+def deduce(tokens: list[dict], pages: int) -> tuple[int, int, list[int]]:
+    """Article slot (0 for none) and its depth, and template text blocks, from the tokens on two pages or more of a host."""
+    wide = [t for t in tokens if 2 * t["pages"] >= pages and t["pages"] > 1]
     classes: dict[int, list[dict]] = {}
     for t in wide:
         classes.setdefault(t["sig"], []).append(t)
-    placed = {t["path"] for t in wide if t["kind"] == 0}
-    nested = {s for s, own in classes.items() if all(t["kind"] or not t["path"].rpartition("/")[0] or t["path"].rpartition("/")[0] in placed for t in own)}
-    valid = [t for s in nested for t in classes[s] if t["pages"] > 1]
-    blocks = sorted(t["token"] for t in valid if t["kind"] == 1)
-    elements = [t for t in valid if t["kind"] == 0 and t["chars"] and 2 * t["ones"] >= pages]
-    plain = [t for t in elements if not _ruled_out(t["path"])]
+    placed = {t["token"] for t in wide if t["kind"] == ELEMENT} | {0}
+    nested = [own for own in classes.values() if all(t["kind"] == TEXT or t["parent"] in placed for t in own)]
+    valid = [t for own in nested for t in own]
+    blocks = sorted(t["token"] for t in valid if t["kind"] == TEXT)
+    elements = [t for t in valid if t["kind"] == ELEMENT and t["chars"] and 2 * t["ones"] >= pages]
+    plain = [t for t in elements if not t["barred"]]
     # names do not reach into an article: one within a named element is taken where none stands outside
-    named = [t for t in elements if _is_main(t["path"]) and _ruled_out(t["path"])]
+    named = [t for t in elements if t["main"] and t["barred"]]
     total = max((t["chars"] for t in plain), default=0)
-    if named and max(t["chars"] for t in named) > total and not any(_is_main(t["path"]) for t in plain):
+    if named and max(t["chars"] for t in named) > total and not any(t["main"] for t in plain):
         plain, total = named, max(t["chars"] for t in named)
     inner = [t for t in plain if 10 * t["chars"] >= 7 * total]
-    best = max(inner, key=lambda t: (_is_main(t["path"]), t["path"].count("/"), t["path"]), default=None)
-    return (best["path"] if best else ""), blocks
-
-
-def _is_main(path: str) -> bool:
-    return path.rpartition("/")[2].partition(".")[0] in _MAIN
-
-
-def _ruled_out(path: str) -> bool:
-    """Whether a step of the path holds no article text by its name, as in ``parse``."""
-    steps = [step.split(".") for step in path.split("/")[1:]]
-    return any(name in _OUT_TAGS or (name not in ("html", "body", "article", "main") and any(w in _OUT_NAMES for w in words)) for name, *words in steps)
+    best = max(inner, key=lambda t: (t["main"], t["depth"], t["token"]), default=None)
+    return (best["token"], best["depth"], blocks) if best else (0, 0, blocks)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, slot and template blocks of the hosts that differ from the default."""
-    tokens = occurrences(pages)
-
-    def borne(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            many = Counter(h for h, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True) if bears(page))
-            yield pa.RecordBatch.from_arrays([pa.array(list(many), pa.string()), pa.array(list(many.values()), pa.int64())], names=["s_host", "of"])
-
-    sizes = pages.select("host", "html").mapInArrow(T.lean(borne), "s_host string, of long").groupBy("s_host").agg(F.sum("of").alias("of"))
+    """host, slot with its depth, and template blocks of the hosts that have any."""
+    tokens = cut(occurrences(pages))
+    sizes = tokens.filter(F.col("kind") == PAGE).select(F.col("host").alias("s_host"), F.col("pages").alias("of"))
     # on at least half of a host's pages: at most twice the tokens of a page, however many pages
-    wide = tokens.join(sizes, F.col("host") == F.col("s_host")).filter(2 * F.col("pages") >= F.col("of")).drop("s_host")
+    wide = tokens.filter(F.col("kind") != PAGE).join(sizes, F.col("host") == F.col("s_host")).filter(2 * F.col("pages") >= F.col("of")).drop("s_host")
 
     def own(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        slot, blocks = deduce(rows, rows[0]["of"])
+        slot, depth, blocks = deduce(rows, rows[0]["of"])
         keep = bool(slot or blocks)
-        return pa.table({"t_host": pa.array([rows[0]["host"]] * keep, pa.string()), "slot": pa.array([slot] * keep, pa.string()), "blocks": pa.array([blocks] * keep, pa.list_(pa.int64()))})
+        return pa.table({"t_host": pa.array([rows[0]["host"]] * keep, pa.string()), "slot": pa.array([slot] * keep, pa.int64()), "depth": pa.array([depth] * keep, pa.int32()), "blocks": pa.array([blocks] * keep, pa.list_(pa.int64()))})
 
-    return wide.groupBy("host").applyInArrow(T.lean_group(own), "t_host string, slot string, blocks array<long>")
+    return wide.groupBy("host").applyInArrow(T.lean_group(own), "t_host string, slot long, depth int, blocks array<long>")
 
 
-def main_text(page: str | None, slot: str = "", template: frozenset = frozenset()) -> str:
+def main_text(page: str | None, slot: int = 0, depth: int = 0, template: frozenset = frozenset()) -> str:
     """The article's blocks, joined by one space."""
     if not page:
         return ""
-    _, blocks = parse(page)
+    _, blocks = parse(page, slot)
     kept = [b for b in blocks if not b.out]
     inside = []
     if slot:
-        depth = slot.count("/")
-        inside = [b for b in blocks if b.out <= depth and (b.path == slot or b.path.startswith(slot + "/"))]
+        inside = [b for b in blocks if b.inside and b.out <= depth]
         # an article that holds most of the slot's text narrows it
         main = [b for b in inside if b.main]
         if 10 * sum(len(b.text) for b in main) >= 7 * sum(len(b.text) for b in inside):
             inside = main
     inside = inside or [b for b in kept if b.main]
     if template:
-        inside = [b for b in inside if b.main or _hash("#" + b.path + "#" + b.text) not in template]
+        inside = [b for b in inside if b.main or _block(b) not in template]
     return " ".join(b.text for b in (inside or ([] if any(x.main for x in blocks) else kept)))
 
 
@@ -278,12 +327,12 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     found = cut(templates(src))
     n = found.count()
     side = F.broadcast(found) if n <= BROADCAST_HOSTS else found
-    both = src.join(side, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "slot", "blocks")
+    both = src.join(side, F.col("host") == F.col("t_host"), "left").select("page_id", "url", "html", "slot", "depth", "blocks")
     kind = src.schema["page_id"].dataType.simpleString()
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(h, s or "", frozenset(t or ())) for h, s, t in zip(b.column("html").to_pylist(), b.column("slot").to_pylist(), b.column("blocks").to_pylist(), strict=True)]
+            texts = [main_text(h, s or 0, d or 0, frozenset(t or ())) for h, s, d, t in zip(*(b.column(c).to_pylist() for c in ("html", "slot", "depth", "blocks")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return both.mapInArrow(T.lean(own), f"page_id {kind}, url string, text string")

@@ -285,10 +285,48 @@ def test_pages(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def counted(rows):
+    """Tokens as counted: (token, parent, kind, pages, ones, chars)."""
+    return [{"token": t, "parent": p, "kind": k, "pages": n, "ones": o, "chars": c, "depth": t, "main": False, "barred": False, "sig": 1} for t, p, k, n, o, c in rows]
+
+
 def test_template_blocks_are_left_out():
-    tokens = [{"path": p, "kind": 0, "pages": 9, "ones": 9, "sig": 1, "chars": c, "token": k} for k, (p, c) in enumerate([("/html", 90), ("/html/body", 90), ("/html/body/div.x", 85), ("/html/body/div.y", 5)])]
-    tokens.append({"path": "", "kind": 1, "pages": 9, "ones": 9, "sig": 1, "chars": 0, "token": 77})
-    assert html.deduce(tokens, 9) == ("/html/body/div.x", [77])
+    assert html.deduce(counted([(1, 0, 0, 9, 9, 90), (2, 1, 0, 9, 9, 90), (3, 2, 0, 9, 9, 85), (4, 2, 0, 9, 9, 5), (77, 0, 1, 9, 9, 0)]), 9) == (3, 3, [77])
+
+
+def test_the_slot_needs_no_names(spark):
+    page = "<html><body class='site'><nav class=menu><ul><li>Home {n}</li><li>News {n}</li></ul></nav><div class=ad>Buy {n}</div><article class='post x'><h2>Head {n}</h2><p>%s {n}</p></article><aside>Also {n}</aside><footer>&copy; us</footer></body></html>" % ("long text " * 30).strip()
+    other = page
+    for k, name in enumerate(["nav", "ul", "li", "div", "article", "h2", "aside", "footer", "site", "menu", "ad", "post"]):
+        other = re.sub(rf"(</?|class='?){name}\b", rf"\1zz{k}", other)
+    assert not re.search("article|nav|ad>|menu", other)
+    rows = [(i, f"http://n.example/{i}", page.format(n=i)) for i in range(9)] + [(100 + i, f"http://r.example/{i}", other.format(n=i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {b + i: f"Head {i} {('long text ' * 30).strip()} {i}" for b in (0, 100) for i in range(9)}
+
+
+@pytest.mark.parametrize("part", ["<a b ", "<div>", "<a '\"", "<!x ", "<div></p>", "</div>", "<p \"", "<b class=ad>", "<script ", "&", "<"])
+def test_broken_pages_take_linear_time(part):
+    import time
+
+    page = part * ((1 << 20) // len(part))
+    began = time.process_time()
+    html.parse(page)
+    assert time.process_time() - began < 20
+
+
+def test_tags_end_where_a_search_finds_the_end():
+    r = np.random.default_rng(4)
+    for k in range(300):
+        page = "".join(r.choice(list("<>\"'a /"), 40))
+        ends = html._ends(page)
+        for at in range(len(page)):
+            m = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\"<>]|\"[^\"]*\"|'[^']*')*)>").match(page, at)
+            tag = html._TAG.match(page, at)
+            if tag:
+                mark = html._MARK.search(page, tag.end())
+                assert (m is not None) == (mark is not None and ends[mark.start()] >= 0), page
+                assert not m or m.end() - 1 == ends[mark.start()]
 
 
 def test_classes_decide_the_slot_on_hosts_with_articles(spark):
@@ -311,8 +349,8 @@ def test_odd_pages_do_not_void_a_host_template(spark):
     assert all(got[i] == f"Own text number {i} of this page" for i in range(20)) and got[50] == "error"
     assert not any(got[60 + i] for i in range(40)) and [got[200], got[201]] == ["Page 0", "Page 1"]
     # a sidebar within the slot, on most pages
-    tokens = [t | {"sig": t["token"]} for t in ({"path": p, "kind": k, "pages": n, "ones": n, "chars": c, "token": i} for i, (p, k, n, c) in enumerate([("/html", 0, 20, 90), ("/html/div.x", 0, 19, 85), ("", 1, 19, 0), ("", 1, 9, 0)]))]
-    assert html.deduce(tokens, 20) == ("/html/div.x", [2])
+    tokens = counted([(1, 0, 0, 20, 20, 90), (2, 1, 0, 19, 19, 85), (8, 0, 1, 19, 19, 0), (9, 0, 1, 9, 9, 0)])
+    assert html.deduce([t | {"sig": t["token"]} for t in tokens], 20) == (2, 2, [8])
 
 
 def test_chroma_alignment(spark):
