@@ -183,6 +183,34 @@ def test_shards_are_even_and_gapless(spark, corpus):
     assert sharding.assign(frame(spark, corpus).limit(0)).count() == 0
 
 
+def test_equal_texts_share_a_shard_where_they_fit(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, rng_text(i, int(r.integers(5, 90))), "h") for i in range(1500)]
+    rows += [(5000 + i, f"group {i % 40} " * (1 + i % 7), "h") for i in range(2000)] + [(9000 + i, "hot text " * 6, "h") for i in range(6000)]
+    rows += [(None, None, None), (1, "same row", "h"), (1, "same row", "h"), (2, "", None)]
+    out = sharding.assign(frame(spark, rows), 8).collect()
+    size, shards, slots = Counter(), {}, {}
+    for x in out:
+        size[x.shard] += x["size"]
+        shards.setdefault(x.key[:16], set()).add(x.shard)
+        slots.setdefault(x.shard, []).append(x.slot)
+    share = sum(size.values()) / 8
+    group = Counter()
+    for x in out:
+        group[x.key[:16]] += x["size"]
+    assert all(len(shards[k]) == 1 for k in group if group[k] <= share) and len(shards[max(group, key=group.get)]) > 1
+    assert max(size.values()) - min(size.values()) < 0.02 * share and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter(x.doc_id for x in out) == Counter(d for d, _, _ in rows)
+
+
+def test_an_overfull_range_is_parted_in_every_round():
+    row = lambda lo, hi: {"lo": lo, "hi": hi}
+    a, b = "a" * 16, "b" * 16
+    assert sharding._parted([], [], [row(a + "0" * 16, b + "0" * 16)]) == [b]
+    assert sharding._parted([a], [], [row(a + "0" * 16, a + "f" * 16)]) == [a, a + "f" * 16]
+    assert sharding._parted([a], [a + "5" * 16], [row(a + "0" * 16, b + "f" * 16)]) == [a, a + "~"]
+
+
 def test_language_model(spark, corpus):
     held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: [*WORDS.findall(lower(t or "")), None]
