@@ -70,3 +70,10 @@ def load_layers(path: str | Path, _open: tuple[Path, ...] = ()) -> dict:
 
 def _overlaid(under: dict, over: dict) -> dict:
     return {**under, **{k: _overlaid(under[k], v) if isinstance(v, dict) and isinstance(under.get(k), dict) else v for k, v in over.items()}}
+
+
+def flatten(value, prefix: str = "") -> dict:
+    """A nested mapping's leaves by dotted key."""
+    if not isinstance(value, dict):
+        return {prefix: value}
+    return {k: v for key, inner in value.items() for k, v in flatten(inner, f"{prefix}.{key}" if prefix else str(key)).items()}

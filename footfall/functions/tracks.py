@@ -96,6 +96,46 @@ class Trajectory:
         return self.accepted >= self.s.min_confirmed_points
 
 
+@dataclass
+class HeadingRules:
+    """Limits of the direction estimate: seconds, observations, pixels, and pixels a second."""
+
+    history: float = 1.0
+    gap: float = 0.5
+    observations: int = 3
+    span: float = 0.15
+    least_move: float = 2.0
+    stop: float = 4.0
+    start: float = 6.0
+
+
+@dataclass
+class Heading:
+    """Where a track is heading, by its observations of the last second; it stops at one speed and starts at a higher one."""
+
+    rules: HeadingRules = field(default_factory=HeadingRules)
+    seen: deque = field(default_factory=deque)  # (timestamp, x, y)
+    moving: bool = False
+
+    def feed(self, t: float, x: float, y: float) -> tuple[str, float | None, float | None, float, float]:
+        """State, unit vector, quality and observed span. A gap or a step back in time starts afresh, but for the state."""
+        r = self.rules
+        if self.seen and not 0 < t - self.seen[-1][0] <= r.gap:
+            self.seen.clear()
+        self.seen.append((t, x, y))
+        while len(self.seen) > 1 and self.seen[0][0] < t - r.history:
+            self.seen.popleft()
+        span, dx, dy = t - self.seen[0][0], x - self.seen[0][1], y - self.seen[0][2]
+        if len(self.seen) < r.observations or span < r.span:
+            self.moving = False
+            return "unknown", None, None, 0.0, span if len(self.seen) >= r.observations else 0.0
+        move = math.hypot(dx, dy)
+        self.moving = move / span > r.stop if self.moving else move / span >= r.start
+        quality = min(1.0, len(self.seen) / (r.observations + 2)) * min(1.0, span / r.history)
+        to = (dx / move, dy / move) if self.moving and move >= r.least_move else (None, None)
+        return "moving" if self.moving else "stationary", *to, quality, span
+
+
 @dataclass
 class PointTracklet:
     """Smooths against a running estimate that moves with every observation; history and zone ends until idle."""

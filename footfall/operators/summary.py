@@ -106,14 +106,22 @@ def stage_metrics(frames: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("stage").agg(F.count("*").alias("samples"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("top"), F.round(F.sum("value"), 6).alias("total"))
 
 
-def nearest_rank(values: DataFrame, column: str, quantiles: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
-    """Percentiles by rank int((n - 1) * q) of the sorted values, counted in SQL rather than gathered."""
-    w = Window.orderBy("v")
-    counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("c"))  # one row per distinct value
-    run = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.broadcast(counts.agg(F.sum("c").alias("n")))
-    pick = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * q), F.col("v"))).alias(f"p{int(q * 100)}") for q in quantiles]
-    return run.crossJoin(total).agg(F.max("n").alias("samples"), *pick)
+def nearest_rank(values: DataFrame, column: str, quantiles: tuple[float, ...] = (0.5, 0.95), ranges: int = 1000) -> DataFrame:
+    """Percentiles by rank int((n - 1) * q) of the sorted values, counted in SQL rather than gathered.
+
+    Approximate percentiles part the values in ranges; exact counts tell which range holds a rank, and only the values of
+    those ranges (one for each quantile) are put in order.
+    """
+    v = values.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    edges = v.agg(F.array_sort(F.array_distinct(F.percentile_approx("v", [k / ranges for k in range(1, ranges)], 10 * ranges))).alias("edges"))
+    placed = v.groupBy("v").agg(F.count("*").alias("c")).crossJoin(F.broadcast(edges)).select("v", "c", F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(e < F.col("v"), 1).otherwise(0)).alias("part"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    parts = placed.groupBy("part").agg(F.sum("c").alias("in_part")).withColumns({"before": F.coalesce(F.sum("in_part").over(order), F.lit(0)), "n": F.sum("in_part").over(Window.partitionBy(F.lit(1)))})
+    wanted = parts.select("part", "in_part", "before", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.floor((F.col("n") - 1) * q).alias("rank")) for k, q in enumerate(quantiles)])).alias("w")).select("part", "before", "n", "w.k", "w.rank", "in_part")
+    wanted = wanted.filter((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_part"))).drop("in_part")
+    run = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    near = placed.join(F.broadcast(wanted), "part").withColumn("upto", F.col("before") + F.sum("c").over(run)).filter(F.col("upto") > F.col("rank"))
+    return near.agg(F.max("n").alias("samples"), *[F.min(F.when(F.col("k") == k, F.col("v"))).alias(f"p{int(q * 100)}") for k, q in enumerate(quantiles)])
 
 
 def tumbling(frames: DataFrame, seconds: float, s: Settings) -> DataFrame:

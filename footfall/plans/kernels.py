@@ -34,6 +34,12 @@ def smoothed_trajectories(spark, d):
     return O.smoothed(adapter.points(spark, d), S)
 
 
+@query("direction_estimates")
+def direction_estimates(spark, d):
+    h = O.headings(adapter.points(spark, d), S)
+    return h.select("track_id", "frame_id", "state", *[F.round(c, 6).alias(c) for c in ("ux", "uy", "quality", "span")])
+
+
 @query("completed_tracklets")
 def completed_tracklets(spark, d):
     return O.tracklets(adapter.points(spark, d), S.but(track_buffer_frames=400), adapter.ZONES)
@@ -89,6 +95,7 @@ def _paths(engine: str, make=None):
 
 query("legacy_common_paths")(_paths("legacy", lambda s: E.LegacyPaths(s.width, s.height, E.LegacyRules(columns=8, rows=5, confirm_points=1, least_tracks=2, edge_tracks=1, alike=0.2, confirm=1.0))))
 query("directional_paths")(_paths("directional_grid", lambda s: E.DirectionalGrid(s.width, s.height, E.GridRules(columns=8, rows=5, gap=2.0, sample=1.0, edge_tracks=2, support=2, complete=1, confirm=3, every=1))))
+query("dominant_direction_path")(_paths("dominant_direction", lambda s: E.DominantDirection(s.width, s.height, E.GridRules(columns=8, rows=5, gap=2.0, sample=1.0, every=1))))
 query("live_flow_path")(_paths("dominant_live_flow", lambda s: E.LiveFlow(s.width, s.height, E.FlowRules(columns=8, rows=5, look_back=(0.3, 1.5)))))
 query("tracklet_common_paths")(_paths("tracklet_aggregation", lambda s: E.TrackletPaths(s.width, s.height, E.TrackletRules(gap=2.0, step=0.5, stretch=6.0, straight=0.1, near=0.15, every=12.0))))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from footfall.config import Settings
+from footfall.config import Settings, flatten
 from footfall.functions.geometry import COMPASS
-from footfall.operators import compare, flow, heatmap, steps, summary, zones
+from footfall.operators import audit, compare, flow, gates, heatmap, steps, summary, zones
 from footfall.sources import adapter
 
 S = Settings()
@@ -386,20 +386,20 @@ def run_diff_counts(spark, d):
     return compare.frame_diff(*_two_runs(spark, d))
 
 
-@query("id_set_diff", f"WITH {_P}, a AS (SELECT DISTINCT track_id FROM p WHERE frame_id % 3 = 0), b AS (SELECT DISTINCT track_id FROM p WHERE frame_id % 100 = 1) SELECT track_id, 'a' AS only_in FROM a WHERE track_id NOT IN (SELECT track_id FROM b) UNION ALL SELECT track_id, 'b' FROM b WHERE track_id NOT IN (SELECT track_id FROM a)")
+@query("id_set_diff", f"WITH {_P}, a AS (SELECT DISTINCT track_id FROM p), b AS (SELECT DISTINCT track_id + CASE WHEN x > 150 THEN 1000000 ELSE 0 END AS track_id FROM p) SELECT track_id, 'a' AS only_in FROM a WHERE track_id NOT IN (SELECT track_id FROM b) UNION ALL SELECT track_id, 'b' FROM b WHERE track_id NOT IN (SELECT track_id FROM a)")
 def id_set_diff(spark, d):
+    # the second run gives tracks another id where they come near the right side
     p = _points(spark, d)
-    return compare.id_diff(p.filter("frame_id % 3 = 0"), p.filter("frame_id % 100 = 1"))
+    return compare.id_diff(p, p.withColumn("track_id", F.col("track_id") + F.when(F.col("x") > 150, 1_000_000).otherwise(0)))
 
 
-_CONF = [("grid.width", "64", "64"), ("grid.height", "36", "18"), ("zones.debounce", "2", None), ("paths.max", None, "5"), ("alpha", "0.35", "0.18")]
+_CONF = {"grid": {"width": 64, "height": 36}, "zones": {"debounce": 2}, "alpha": 0.35}, {"grid": {"width": 64, "height": 18}, "paths": {"max": 5}, "alpha": 0.18}
+_FLAT = "WITH a(key, a_value) AS (VALUES ('grid.width', '64'), ('grid.height', '36'), ('zones.debounce', '2'), ('alpha', '0.35')), b(key, b_value) AS (VALUES ('grid.width', '64'), ('grid.height', '18'), ('paths.max', '5'), ('alpha', '0.18'))"
 
 
-@query("config_diff", "SELECT key, a_value, b_value FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in r) + ")" for r in _CONF) + ") t(key, a_value, b_value) WHERE a_value IS DISTINCT FROM b_value")
+@query("config_diff", f"{_FLAT} SELECT coalesce(a.key, b.key) AS key, a_value, b_value FROM a FULL JOIN b ON a.key = b.key WHERE a_value IS DISTINCT FROM b_value")
 def config_diff(spark, d):
-    a = spark.createDataFrame([(k, v) for k, v, _ in _CONF if v is not None], "key string, value string")
-    b = spark.createDataFrame([(k, v) for k, _, v in _CONF if v is not None], "key string, value string")
-    return compare.config_diff(a, b)
+    return compare.config_diff(*(spark.createDataFrame([(k, str(v)) for k, v in flatten(c).items()], "key string, value string") for c in _CONF))
 
 
 @query("count_error_metrics", f"WITH {_AB}, x AS (SELECT frame, count(DISTINCT track_id) AS n FROM f GROUP BY 1), y AS (SELECT frame, count(DISTINCT track_id) AS m FROM fb GROUP BY 1), e AS (SELECT n, coalesce(m, 0) - n AS d FROM x LEFT JOIN y USING (frame)) SELECT count(*) AS frames, round(avg(abs(d)), 6) AS mae, round(avg(abs(d) / n::DOUBLE) * 100, 6) AS mape, round(avg(d), 6) AS bias FROM e")
@@ -427,9 +427,9 @@ def id_switch_suspects(spark, d):
     return compare.switch_suspects(p, compare.default_switch_horizon(25.0), 80.0).orderBy("cost", "from_track", "to_track").limit(12)
 
 
-@query("alive_intervals_join", f"WITH {_P}, l AS (SELECT track_id, min(timestamp) AS a, max(timestamp) AS b FROM p WHERE frame_id % 40 < 5 GROUP BY 1), t AS (SELECT unnest(generate_series(0, 71)) AS t) SELECT t, count(track_id) AS alive FROM t LEFT JOIN l ON t.t BETWEEN a AND b GROUP BY 1")
+@query("alive_intervals_join", f"WITH {_P}, l AS (SELECT track_id, min(timestamp) AS a, max(timestamp) AS b FROM p GROUP BY 1), t AS (SELECT unnest(generate_series(0, 71)) AS t) SELECT t, count(track_id) AS alive FROM t LEFT JOIN l ON t.t BETWEEN a AND b GROUP BY 1")
 def alive_intervals_join(spark, d):
-    return compare.alive(_points(spark, d).filter("frame_id % 40 < 5"), spark.range(72).withColumnRenamed("id", "t"))
+    return compare.alive(_points(spark, d), spark.range(72).withColumnRenamed("id", "t"))
 
 
 @query(
@@ -476,12 +476,12 @@ def confidence_bands(spark, d):
     return _points(spark, d).withColumn("confidence", F.col("y") / 100).groupBy(detections.confidence_band(0.5, 0.1).alias("band")).agg(F.count("*").alias("boxes"))
 
 
-@query("zone_switches", f"WITH {_P}, z AS (SELECT timestamp, coalesce({_ZONE}, 'outside') AS path_id, lag(coalesce({_ZONE}, 'outside')) OVER (ORDER BY timestamp) AS b FROM p WHERE track_id = 0), a AS (SELECT min(timestamp) AS f, max(timestamp) AS l, count(*) FILTER (WHERE b <> path_id) AS n FROM z) SELECT round(f, 6) AS first_active, n AS switches, round(n / greatest((l - f) / 60, 1/60::DOUBLE), 6) AS per_minute FROM a")
+@query("zone_switches", f"WITH {_P}, z AS (SELECT track_id, timestamp, coalesce({_ZONE}, 'outside') AS path_id, lag(coalesce({_ZONE}, 'outside')) OVER (PARTITION BY track_id ORDER BY timestamp) AS b FROM p), a AS (SELECT track_id, min(timestamp) AS f, max(timestamp) AS l, count(*) FILTER (WHERE b <> path_id) AS n FROM z GROUP BY 1) SELECT track_id, round(f, 6) AS first_active, n AS switches, round(n / greatest((l - f) / 60, 1/60::DOUBLE), 6) AS per_minute FROM a")
 def zone_switches(spark, d):
     from footfall.operators import detections
 
-    t = zones.tagged(_points(spark, d).filter("track_id = 0"), adapter.ZONES).withColumn("path_id", F.coalesce("zone_id", F.lit("outside")))
-    return detections.switches(t).select(F.round("first_active", 6).alias("first_active"), "switches", "per_minute")
+    t = zones.tagged(_points(spark, d), adapter.ZONES).withColumn("path_id", F.coalesce("zone_id", F.lit("outside")))
+    return detections.switches(t, ("track_id",)).select("track_id", F.round("first_active", 6).alias("first_active"), "switches", "per_minute")
 
 
 @query(
@@ -493,3 +493,99 @@ def adjacent_overlap(spark, d):
     from footfall.operators import detections
 
     return detections.adjacent_overlap(adapter.boxes(_frames(spark, d)))
+
+
+# ---- gates, digests, figures of runs -------------------------------------------------------
+_CELLS = f"""cells AS (SELECT r AS "row", c AS col, (c + 0.5) * {S.width} / {S.path_grid_width} AS x, (r + 0.5) * {S.height} / {S.path_grid_height} AS y
+  FROM (SELECT unnest(range({S.path_grid_height}))::INT AS r), (SELECT unnest(range({S.path_grid_width}))::INT AS c)),
+zc AS (SELECT 'a' AS zone_id, "row", col FROM cells WHERE x <= 40 UNION ALL SELECT 'b', "row", col FROM cells WHERE x BETWEEN 40 AND 100 UNION ALL SELECT 'c', "row", col FROM cells WHERE x >= 100 AND y <= 80)"""
+
+
+def _zone_cells(spark):
+    return gates.zone_cells(spark, adapter.ZONES, S.width, S.height, S.path_grid_width, S.path_grid_height)
+
+
+@query("zone_cells", f"WITH {_CELLS} SELECT zone_id, \"row\", col FROM zc")
+def zone_cells(spark, d):
+    return _zone_cells(spark)
+
+
+_MR, _MC = _macro("x", "y")
+
+
+@query(
+    "gate_order",
+    f"""WITH {_P}, {_CELLS}, st AS (SELECT track_id, timestamp, {_MR} AS r, {_MC} AS c FROM p),
+    g AS (SELECT track_id, min(timestamp) FILTER (WHERE z.zone_id = 'a') AS first_origin, max(timestamp) FILTER (WHERE z.zone_id = 'c') AS last_goal FROM st JOIN zc z ON z."row" = st.r AND z.col = st.c GROUP BY 1)
+    SELECT track_id, round(first_origin, 6) AS first_origin, round(last_goal, 6) AS last_goal FROM g WHERE first_origin < last_goal""",
+)
+def gate_order(spark, d):
+    cell = steps.macro_cell(F.col("x"), F.col("y"), S)
+    tracks = _points(spark, d).select("track_id", F.col("timestamp").alias("seq"), cell["row"].alias("row"), cell["col"].alias("col"))
+    z = _zone_cells(spark)
+    out = gates.passed_in_order(tracks, z.filter("zone_id = 'a'"), z.filter("zone_id = 'c'"))
+    return out.select("track_id", F.round("first_origin", 6).alias("first_origin"), F.round("last_goal", 6).alias("last_goal"))
+
+
+def _two_clocks(spark, d):
+    """Frames of two runs; the second lacks every eleventh and is late on every seventh."""
+    a = _frames(spark, d).select(F.col("frame").alias("frame_id"), (F.col("frame") / 25.0).alias("event_time_s")).distinct()
+    return a, a.filter("frame_id % 11 <> 0").withColumn("event_time_s", F.col("event_time_s") + F.when(F.col("frame_id") % 7 == 0, 0.01).otherwise(0.0))
+
+
+@query("run_agreement", f"WITH {_FRAMES}, a AS (SELECT DISTINCT frame AS frame_id, frame / 25.0::DOUBLE AS t FROM f), b AS (SELECT frame_id, t + CASE WHEN frame_id % 7 = 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS t FROM a WHERE frame_id % 11 <> 0) SELECT a.frame_id, a.t AS a_time, b.t AS b_time, CASE WHEN b.t IS NULL THEN 'ONLY_IN_A' ELSE 'TIMESTAMP_DIFFERS' END AS problem FROM a LEFT JOIN b USING (frame_id) WHERE b.t IS NULL OR abs(a.t - b.t) > 1e-6")
+def run_agreement(spark, d):
+    return audit.disagreements(*_two_clocks(spark, d))
+
+
+@query(
+    "substantive_changes",
+    f"""WITH {_FRAMES}, g AS (SELECT frame, track_id, x, y, CASE WHEN track_id % 3 = 0 THEN 6.0::DOUBLE ELSE 1.0::DOUBLE END AS m, CASE WHEN track_id % 5 = 0 THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END AS k FROM f)
+    SELECT frame AS frame_id, track_id AS "rank", track_id::VARCHAR AS a_path, CASE WHEN track_id % 7 = 0 THEN 'new' ELSE track_id::VARCHAR END AS b_path, round(k, 6) AS confidence_delta, round(m, 6) AS mean_distance,
+      track_id % 7 = 0 OR k > 0.01 OR m > 5 AS substantive FROM g""",
+)
+def substantive_changes(spark, d):
+    at = lambda dx: F.array(F.struct((F.col("x") + dx).alias("x"), F.col("y").alias("y")), F.struct((F.col("x") + 9 + dx).alias("x"), F.col("y").alias("y")))
+    f = _frames(spark, d).select(F.col("frame").alias("frame_id"), F.col("track_id").alias("rank"), "x", "y")
+    base = f.select("frame_id", "rank", F.col("rank").cast("string").alias("path_id"), F.lit("east").alias("direction"), F.lit(3).alias("support_tracks"), F.lit(0.5).alias("confidence"), at(F.lit(0.0)).alias("line"))
+    other = f.select(
+        "frame_id", "rank", F.when(F.col("rank") % 7 == 0, "new").otherwise(F.col("rank").cast("string")).alias("path_id"), F.lit("east").alias("direction"), F.lit(3).alias("support_tracks"),
+        F.when(F.col("rank") % 5 == 0, 0.52).otherwise(0.5).alias("confidence"), at(F.when(F.col("rank") % 3 == 0, 6.0).otherwise(1.0)).alias("line"),
+    )
+    return audit.path_changes(base, other)
+
+
+@query("track_digests", f"WITH {_P} SELECT track_id, sha256('{{\"points\":' || count(*) || ',\"track_id\":' || track_id || '}}') AS digest FROM p GROUP BY 1")
+def track_digests(spark, d):
+    return _points(spark, d).groupBy("track_id").agg(F.count("*").alias("points")).select("track_id", audit.digest("track_id", "points").alias("digest"))
+
+
+@query("route_signatures")
+def route_signatures(spark, d):
+    found = flow.routes(_points(spark, d), S)
+    part = lambda c, k: (F.regexp_extract(c, r"^R(\d+)C(\d+)$", k).cast("int") - 1)
+    cells = F.transform("cells", lambda c: F.struct(part(c, 1).alias("row"), part(c, 2).alias("col")))
+    return found.groupBy(gates.route_signature(cells, "grid").alias("signature")).agg(F.count("*").alias("walks"))
+
+
+_STAGED = f"SELECT event_type AS stage, (epoch_us(ts) - {adapter.EPOCH_US}) / {float(adapter.US_PER_SECOND)}::DOUBLE AS timestamp, value AS ms, user_id FROM events"
+
+
+def _staged(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("event_type").alias("stage"), ((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(adapter.EPOCH_US)) / F.lit(float(adapter.US_PER_SECOND))).alias("timestamp"), F.col("value").alias("ms"), "user_id")
+
+
+@query(
+    "performance_monitor",
+    f"""WITH e AS ({_STAGED}), r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY timestamp DESC, ms DESC) AS k FROM e)
+    SELECT stage, count(*) AS samples, round(quantile_cont(ms, 0.5), 3) AS p50, round(quantile_cont(ms, 0.95), 3) AS p95, round((count(*) - 1) / (max(timestamp) - min(timestamp)), 3) AS per_second FROM r WHERE k <= {audit.SAMPLES} GROUP BY 1""",
+)
+def performance_monitor(spark, d):
+    return audit.performance(_staged(spark, d))
+
+
+@query("best_config", f"WITH e AS ({_STAGED}), c AS (SELECT stage AS config, count(DISTINCT user_id) AS active_tracks, round(count(*) / 72.0::DOUBLE, 6) AS fps FROM e GROUP BY 1) SELECT config, active_tracks, fps, fps >= 27.7 AS at_floor FROM c ORDER BY fps >= 27.7 DESC, active_tracks DESC, fps DESC, config DESC LIMIT 1")
+def best_config(spark, d):
+    runs = _staged(spark, d).groupBy(F.col("stage").alias("config")).agg(F.countDistinct("user_id").alias("active_tracks"), F.round(F.count("*") / 72.0, 6).alias("fps"))
+    return audit.best_config(runs, 27.7)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from footfall.config import Settings
 from footfall.functions.geometry import project
-from footfall.operators import flow, heatmap, stateful, summary, zones
+from footfall.operators import audit, flow, heatmap, stateful, summary, zones
 from footfall.operators.steps import eligible
 
 METRICS = ("occupancy", "movement")
@@ -45,6 +45,10 @@ class Session:
         sums = [heatmap.snapshot(b, c, F.col("_now"), window, self.s) for c in ("vx", "vy", "samples")]
         return sums[0].join(sums[1], ["row", "col"]).join(sums[2], ["row", "col"])
 
+    def metrics(self, samples: DataFrame, run: DataFrame) -> DataFrame:
+        """Performance of each stage beside the run's counters; columns as ``audit.performance`` and ``audit.counters`` take them."""
+        return audit.performance(samples).crossJoin(F.broadcast(audit.counters(run)))
+
     def top_paths(self, limit: int = 5) -> DataFrame:
         """Routes and zone flows together, zone flows only where no route has their label."""
         if not 1 <= limit <= 20:

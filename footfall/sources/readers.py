@@ -88,16 +88,55 @@ def annotation_points(rows: DataFrame, homography: list[list[float]] | None = No
 
 
 def read_frame_cache(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per frame; the time may stand under either name."""
+    """One JSON object per frame; the time may stand under either name. ``at`` tells where in the files a row stands."""
     df = spark.read.schema(CACHE).json(path)
-    return df.withColumn("event_time_s", F.coalesce("event_time_s", "source_timestamp")).drop("source_timestamp")
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return df.withColumn("event_time_s", F.coalesce("event_time_s", "source_timestamp")).drop("source_timestamp").withColumn("at", at)
 
 
 def cache_order_errors(cache: DataFrame) -> DataFrame:
-    """Frames whose number does not rise or whose time goes back, in file order by frame number."""
-    w = Window.orderBy("frame_id")
-    c = cache.select("frame_id", "event_time_s").withColumns({"pf": F.lag("frame_id").over(w), "pt": F.lag("event_time_s").over(w)})
-    return c.filter((F.col("frame_id") <= F.col("pf")) | (F.col("event_time_s") < F.col("pt"))).select("frame_id", "event_time_s")
+    """Frames whose number does not rise, or whose time goes back, from the row before them in their file.
+
+    Rows are followed within the blocks that a file is read in; a block's first row follows the last one of the block before.
+    """
+    c = cache.select("frame_id", "event_time_s", "at.*")
+    w = Window.partitionBy("file", "block").orderBy("line")
+    row = F.struct("frame_id", "event_time_s")
+    inside = c.withColumn("p", F.lag(row).over(w)).filter("p IS NOT NULL").select(row.alias("r"), "p")
+    ends = c.groupBy("file", "block").agg(F.min_by(row, "line").alias("r"), F.max_by(row, "line").alias("last"))
+    across = ends.withColumn("p", F.lag("last").over(Window.partitionBy("file").orderBy("block"))).filter("p IS NOT NULL").select("r", "p")
+    return inside.unionByName(across).filter("r.frame_id <= p.frame_id OR r.event_time_s < p.event_time_s").select("r.*")
+
+
+def write_frame_cache(tracks: DataFrame, path: str) -> None:
+    """Frames as JSON lines, in order of their number, with their tracks; columns as ``cache_tracks`` gives them."""
+    t = F.struct("track_id", "x1", "y1", "x2", "y2", "confidence", "observed")
+    rows = tracks.groupBy("frame_id").agg(F.max("timestamp").alias("event_time_s"), F.array_sort(F.collect_list(t)).alias("tracks"))
+    rows.repartitionByRange("frame_id").sortWithinPartitions("frame_id").write.mode("overwrite").json(path)
+
+
+def pack_packets(frames: DataFrame, header: list[str], body: str = "body") -> DataFrame:
+    """``packet``: the inverse of ``unpack_packets``, a header of the named columns in front of the body."""
+    head = F.to_json(F.struct(*header)).cast("binary")
+    size = F.unhex(F.lpad(F.hex(F.octet_length(head)), 8, "0"))
+    return frames.withColumn("packet", F.concat(size, head, F.coalesce(F.col(body), F.lit(b""))))
+
+
+def write_frame_metrics(metrics: DataFrame, path: str) -> None:
+    """A CSV row for each frame, in order, numbers to six places."""
+    kinds = dict(metrics.dtypes)
+    rows = metrics.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in metrics.columns])
+    rows.repartitionByRange("frame").sortWithinPartitions("frame").write.mode("overwrite").csv(path, header=True)
+
+
+def artifact_problems(spark: SparkSession, folder: str, expected: list[str]) -> list[str]:
+    """What is wrong with a folder of results: expected names that are missing or empty, and names that are not expected."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {f.getPath().getName(): fs.getContentSummary(f.getPath()).getLength() for f in (fs.listStatus(root) if fs.exists(root) else [])}
+    wrong = [f"missing: {n}" for n in expected if n not in there] + [f"empty: {n}" for n in expected if there.get(n) == 0]
+    return wrong + [f"unexpected: {n}" for n in sorted(there) if n not in expected and not n.startswith((".", "_"))]
 
 
 def cache_tracks(cache: DataFrame) -> DataFrame:
