@@ -399,6 +399,27 @@ def test_chroma_alignment(spark):
     assert [len(r.ints) for r in chroma.fingerprints(broken).collect()] == [0, 0, 0]
 
 
+def test_chroma_recall_against_brute_force():
+    from footfall.llm import chroma
+
+    rng = np.random.default_rng(11)
+    found, there, wrong = 0, 0, 0
+    tracks = [chroma.samples_of(chroma.render(rng.uniform(-1, 1, 64).tolist())) for _ in range(25)]
+    prints = [chroma.fingerprint(chroma.wav(x)) for x in tracks]
+    queries = chroma.Block(list(range(25)), [p.astype("<u4").tobytes() for p in prints])
+    for k, x in enumerate(tracks):
+        for noise in (500, 2500, 4000, 6000):
+            for late in (0, 700):
+                y = chroma.fingerprint(chroma.wav(np.clip(np.concatenate([np.zeros(late), x]) + rng.normal(0, noise, len(x) + late), -32000, 32000)))
+                got = {m[0] for m in queries.matches(-1, y)}
+                for q in (k, (k + 7) % 25):
+                    least = min(chroma.bit_error(y, prints[q], o) for o in range(-len(y) // 2, len(y) // 2))
+                    there += least <= chroma.MOST_ERROR
+                    found += least <= chroma.MOST_ERROR and q in got
+                    wrong += least > chroma.MOST_ERROR and q in got
+    assert there > 80 and found >= 0.9 * there and wrong == 0
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_chroma_reports_every_pair(spark, block):
     from footfall.llm import chroma
