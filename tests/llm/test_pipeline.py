@@ -67,3 +67,39 @@ def test_sql_twin(spark, name):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     assert got == sorted(map(str, c.execute(registry.ORACLES[name]).fetchall()))
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(d, t, "en", s, len(t or ""), k) for k, (d, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, _row long").repartition(3)
+
+
+def test_near_duplicates_judge_rows_of_one_id_by_text(spark):
+    import corpus_pipeline as cp
+
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    near = prose(1).replace("w1x59", "other")
+    rows = [(1, prose(1), "a"), (5, near, "a"), (1, prose(2), "a"), (9, prose(2), "a"), (7, prose(3), "b"), (7, prose(3), "b"), (None, prose(3), "b"), (None, prose(4), "b"), (None, prose(4), "b"), (3, None, None), (3, "", None), (4, None, None)]
+    docs = _docs(spark, rows)
+    out = cp.near_duplicates(spark, docs, DATA)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, prose(1)), (1, prose(2)), (7, prose(3)), (None, prose(4)), (3, None), (3, ""), (4, None)], key=str)
+    assert cp.near_duplicates(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline as cp
+
+    passage = " ".join(f"shared{i}" for i in range(55))
+    prose = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    rows = [(k, f"{prose(k)}\n{passage if k < 3 else ''}", "a") for k in range(12)] + [(None, prose(90), None), (0, prose(91), "a"), (0, prose(91), "a"), (20, None, "a"), (21, "", "a"), (22, "word " * 200_000, "a")]
+    docs = _docs(spark, rows)
+    for name, stage in cp.STAGES:
+        for part in (docs, docs.limit(0)):
+            out = stage(spark, part, DATA)
+            assert name == "packing" or out.columns == docs.columns, name
+            rows_out = out.collect()
+            assert bool(rows_out) == (part is docs) or name == "packing", name
+        if name == "repeat_removal":
+            texts = {(r.doc_id, r._row): r.text for r in rows_out} or {(r.doc_id, r._row): r.text for r in stage(spark, docs, DATA).collect()}
+            assert all("shared5 " not in (t or "") for t in texts.values()) and texts[20, 15] in (None, "") and len(texts) == len(rows)
