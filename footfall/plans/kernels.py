@@ -1,4 +1,4 @@
-"""Registered queries without an SQL twin: state machines, matching and path engines."""
+"""Registered queries of state machines, matching and path engines; few have an SQL twin."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from footfall.config import Settings
 from footfall.functions import engines as E
 from footfall.operators import stateful as O
+from footfall.plans.relational import _FRAMES
 from footfall.sources import adapter
 
 S = Settings()
 QUERIES: dict = {}
+ORACLES: dict = {}
 
 
 def query(name: str):
@@ -115,3 +117,9 @@ def scan_schedule(spark, d):
     from footfall.operators import detections
 
     return detections.scan_schedule(_frames(spark, d), 3)
+
+
+ORACLES["scan_schedule"] = f"""WITH RECURSIVE {_FRAMES}, fr AS MATERIALIZED (SELECT DISTINCT frame FROM f),
+nx AS MATERIALIZED (SELECT a.frame, min(b.frame) AS nxt FROM fr a JOIN fr b ON b.frame >= a.frame + 3 GROUP BY 1),
+s AS (SELECT min(frame) AS frame, false AS missed FROM fr UNION ALL SELECT nxt, nxt - s.frame > 3 FROM s JOIN nx ON nx.frame = s.frame)
+SELECT 'cam01' AS camera_id, 'e0' AS stream_epoch, frame, missed FROM s"""

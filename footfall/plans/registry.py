@@ -3,4 +3,4 @@
 from footfall.plans import kernels, relational
 
 QUERIES: dict = relational.QUERIES | kernels.QUERIES
-ORACLES: dict = dict(relational.ORACLES)
+ORACLES: dict = relational.ORACLES | kernels.ORACLES
