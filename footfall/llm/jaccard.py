@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from footfall.llm import textops as T
-from footfall.llm.common import cut, table
+from footfall.llm.common import WORD, cut, table
 
 WIDTH, PERCENT = 5, 75
 #: Most rounds of pivots, and pivots that a set is compared with in one round.
@@ -420,3 +420,19 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
 
 def query(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Texts with the same words are one class; classes meet by shingle, and a class is joined to all it reaches.
+ORACLE = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+c AS MATERIALIZED (SELECT ws, min(doc_id) AS least, row_number() OVER () AS c FROM d GROUP BY ws),
+u AS MATERIALIZED (SELECT DISTINCT c, unnest(CASE WHEN len(ws) < {WIDTH} THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - {WIDTH} + 2), lambda i: array_to_string(ws[i:i + {WIDTH} - 1], ' ')) END) AS g FROM c WHERE len(ws) > 0),
+n AS MATERIALIZED (SELECT c, count(*) AS n FROM u GROUP BY c),
+b AS (SELECT x.c AS p, y.c AS q, count(*) AS k FROM u x JOIN u y ON x.g = y.g AND x.c <> y.c GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT p, q FROM b JOIN n np ON np.c = p JOIN n nq ON nq.c = q WHERE 100 * k >= {PERCENT} * (np.n + nq.n - k)),
+r AS (SELECT c AS p, c AS q FROM c UNION SELECT r.p, e.q FROM r JOIN e ON e.p = r.q),
+o AS (SELECT r.p AS c, min(least) AS component_id FROM r JOIN c ON c.c = r.q GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id
+FROM d JOIN c ON c.ws = d.ws JOIN o ON o.c = c.c LEFT JOIN n ON n.c = c.c
+"""

@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op4_line_frequency": quality.ORACLE,
+    "op6_ngram_jaccard": jaccard.ORACLE,
+    "op10_transform_merge": repeats.ORACLE,
 }

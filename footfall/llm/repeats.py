@@ -398,3 +398,18 @@ def _without(body: bytes, lo, hi, least: int) -> tuple[bytes, list[int], list[in
 def query(spark, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select(F.col("_id").alias("doc_id"), F.col("_bytes").alias("n_bytes"), (F.col("_bytes") - F.octet_length("_rest")).cast("long").alias("n_removed"), F.size("_begins").cast("long").alias("n_spans"), F.sha2("_rest", 256).alias("kept_sha256"))
+
+
+#: All windows of every text by their hash (texts in hexadecimal, two digits a byte), and the bytes between removed runs.
+ORACLE = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT r, i, md5_number(substr(x, 2 * i + 1, 2 * {LEAST})) AS h FROM (SELECT r, x, unnest(range(0, n - {LEAST} + 1)) AS i FROM d WHERE n >= {LEAST})),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS k FROM w) WHERE k > 1),
+f AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > {LEAST}, true)::INT AS new FROM t),
+s AS (SELECT r, min(i) AS a, max(i) + {LEAST} AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM f) GROUP BY r, run),
+b AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+k AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM b JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(from_hex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
