@@ -266,7 +266,7 @@ def spans(docs: DataFrame, least: int = LEAST, hot_bytes: int = HOT_BYTES, bucke
     met = stored(distinct.join(kinds, F.col("mh") == F.col("k"), "left").drop("k").filter("kinds IS NOT NULL OR c > 1"))
     meet = met.filter("kinds > 1").withColumn("hot", F.col("bytes") > hot_bytes)
     total = meet.filter("not hot").agg(F.sum(F.col("many") + (least - 1)).alias("b")).first()["b"] or 0
-    buckets = max(spark.sparkContext.defaultParallelism, int(total // bucket_bytes) + 1)
+    buckets = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // bucket_bytes) + 1)
     wanted = meet.groupBy("x").agg(F.collect_list(F.struct("mh", "th", "many", "anchor", "start", "hot")).alias("w"))
     texts = _squeezed(docs.filter(F.octet_length("text") >= least).select(F.col("x").alias("tx"), "text"), "text", Sieve(meet, "x"), "tx")
     both = wanted.join(texts, F.col("x") == F.col("tx")).select("x", "w", "text")
