@@ -123,3 +123,33 @@ ORACLES["scan_schedule"] = f"""WITH RECURSIVE {_FRAMES}, fr AS MATERIALIZED (SEL
 nx AS MATERIALIZED (SELECT a.frame, min(b.frame) AS nxt FROM fr a JOIN fr b ON b.frame >= a.frame + 3 GROUP BY 1),
 s AS (SELECT min(frame) AS frame, false AS missed FROM fr UNION ALL SELECT nxt, nxt - s.frame > 3 FROM s JOIN nx ON nx.frame = s.frame)
 SELECT 'cam01' AS camera_id, 'e0' AS stream_epoch, frame, missed FROM s"""
+
+_SECOND = f"""WITH RECURSIVE {_FRAMES},
+g AS (SELECT floor(timestamp * 25)::BIGINT AS frame, track_id, max_by(x + 1, frame_id) AS x, max_by(y, frame_id) AS y FROM p WHERE frame_id % 5 <> 0 GROUP BY 1, 2)"""
+_NEAR = """, near AS (SELECT f.frame, f.track_id AS a, g.track_id AS b, sqrt((f.x - g.x) * (f.x - g.x) + (f.y - g.y) * (f.y - g.y)) AS distance FROM f JOIN g ON g.frame = f.frame),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY distance, a, b) AS k FROM near WHERE distance <= 60)"""
+_OVERLAP = """, bx AS (SELECT f.frame, f.track_id AS a, g.track_id AS b, f.x - 6 AS l, f.x + 6 AS r, f.y - 24 AS o, f.y AS u, g.x - 6 AS gl, g.x + 6 AS gr, g.y - 24 AS g_o, g.y AS gu FROM f JOIN g ON g.frame = f.frame),
+i AS (SELECT *, greatest(least(r, gr) - greatest(l, gl), 0) * greatest(least(u, gu) - greatest(o, g_o), 0) AS common FROM bx),
+shares AS (SELECT frame, a, b, common / ((r - l) * (u - o) + (gr - gl) * (gu - g_o) - common) AS overlap, greatest(abs(l - gl), abs(r - gr), abs(o - g_o), abs(u - gu)) AS edge_error FROM i),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY overlap DESC, a, b) AS k FROM shares WHERE overlap >= 0.5)"""
+
+
+def _greedy(pairs: str, walk: str, taken: str) -> str:
+    """SQL: ``taken`` are the pairs of each frame that come up, by rank k, while both their ids are free."""
+    return f""", {walk} AS (SELECT frame, 0::BIGINT AS k, []::BIGINT[] AS ua, []::BIGINT[] AS ub, false AS hit FROM {pairs} WHERE k = 1
+UNION ALL SELECT frame, k, CASE WHEN free THEN list_append(ua, a) ELSE ua END, CASE WHEN free THEN list_append(ub, b) ELSE ub END, free
+FROM (SELECT q.frame, q.k, q.a, q.b, ua, ub, NOT list_contains(ua, q.a) AND NOT list_contains(ub, q.b) AS free FROM {walk} w JOIN {pairs} q ON q.frame = w.frame AND q.k = w.k + 1)),
+{taken} AS MATERIALIZED (SELECT q.* FROM {walk} w JOIN {pairs} q ON q.frame = w.frame AND q.k = w.k WHERE hit)"""
+
+
+ORACLES["point_match_eval"] = f"""{_SECOND}{_NEAR}{_greedy("c", "t", "m")},
+n AS (SELECT count(*) AS truth_points, count(DISTINCT track_id) AS tt, count(DISTINCT frame) AS tf FROM f),
+fo AS (SELECT count(*) AS found_points, count(DISTINCT track_id) AS ft FROM g WHERE frame IN (SELECT frame FROM f)),
+mm AS (SELECT count(*) AS matches, round(avg(distance), 6) AS mean_distance, round(median(distance), 6) AS median_distance, count(DISTINCT a) AS mt, count(DISTINCT b) AS mf, count(DISTINCT frame) AS mfr FROM m)
+SELECT truth_points, found_points, matches, round(matches / found_points, 6) AS precision, round(matches / truth_points, 6) AS recall, round(mfr / tf, 6) AS frame_coverage,
+round(mt / tt, 6) AS truth_track_coverage, round(mf / ft, 6) AS found_track_coverage, mean_distance, median_distance FROM n, fo, mm"""
+ORACLES["iou_match_eval"] = f"""{_SECOND}{_OVERLAP}{_greedy("c", "t", "m")}
+SELECT count(*) AS matches, count(*) FILTER (WHERE a = b) AS same_ids, round(quantile_cont(overlap, 0.5), 6) AS overlap_p50, round(quantile_cont(edge_error, 0.95), 6) AS edge_error_p95 FROM m"""
+ORACLES["track_id_mapping"] = f"""{_SECOND}{_OVERLAP}{_greedy("c", "t", "m")},
+pairs AS MATERIALIZED (SELECT 0 AS frame, a, b, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, a, b) AS k FROM m GROUP BY a, b){_greedy("pairs", "z", "mapped")}
+SELECT a AS a_id, b AS b_id, n FROM mapped"""
