@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from footfall.config import Settings
 from footfall.functions import engines as E
+from footfall.functions import tracks as K
 from footfall.operators import stateful as O
-from footfall.plans.relational import _FRAMES
+from footfall.plans.relational import _FRAMES, _P
 from footfall.sources import adapter
 
 S = Settings()
@@ -153,3 +154,15 @@ SELECT count(*) AS matches, count(*) FILTER (WHERE a = b) AS same_ids, round(qua
 ORACLES["track_id_mapping"] = f"""{_SECOND}{_OVERLAP}{_greedy("c", "t", "m")},
 pairs AS MATERIALIZED (SELECT 0 AS frame, a, b, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, a, b) AS k FROM m GROUP BY a, b){_greedy("pairs", "z", "mapped")}
 SELECT a AS a_id, b AS b_id, n FROM mapped"""
+#: A track's points by rank, each eased towards the last accepted one.
+ORACLES["smoothed_trajectories"] = f"""WITH RECURSIVE {_P},
+r AS MATERIALIZED (SELECT track_id, frame_id, timestamp, x, y, row_number() OVER (PARTITION BY track_id ORDER BY timestamp, frame_id) AS k FROM p),
+s AS (SELECT track_id, k, timestamp, x AS sx, y AS sy, 1 AS accepted, true AS hit FROM r WHERE k = 1
+UNION ALL SELECT track_id, k, timestamp, CASE WHEN hit THEN nx ELSE sx END, CASE WHEN hit THEN ny ELSE sy END, CASE WHEN fresh THEN 1 ELSE accepted + hit::INT END, hit
+FROM (SELECT *, fresh OR sqrt((nx - sx) * (nx - sx) + (ny - sy) * (ny - sy)) >= {S.min_point_distance} AS hit
+FROM (SELECT *, CASE WHEN fresh THEN x ELSE w * tx + (1 - w) * sx END AS nx, CASE WHEN fresh THEN y ELSE w * ty + (1 - w) * sy END AS ny
+FROM (SELECT *, CASE WHEN far THEN sx ELSE x END AS tx, CASE WHEN far THEN sy ELSE y END AS ty, {S.smoothing_alpha}::DOUBLE * CASE WHEN far OR step < {K.JITTER} THEN 0.5::DOUBLE ELSE 1::DOUBLE END AS w
+FROM (SELECT *, step > {S.max_movement_step} AS far
+FROM (SELECT r.*, s.sx, s.sy, s.accepted, r.timestamp - s.timestamp > {S.inactive_track_ttl_seconds} AS fresh, sqrt((r.x - sx) * (r.x - sx) + (r.y - sy) * (r.y - sy)) AS step
+FROM s JOIN r ON r.track_id = s.track_id AND r.k = s.k + 1))))))
+SELECT 'cam01' AS camera_id, 'e0' AS stream_epoch, track_id, frame_id, s.timestamp, sx AS x, sy AS y, accepted, accepted >= {S.min_confirmed_points} AS confirmed FROM s JOIN r USING (track_id, k) WHERE hit"""
