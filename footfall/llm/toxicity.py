@@ -2,10 +2,12 @@
 
 A word's embedding is the sum of hashed vectors of the word and of its first bytes, so that
 inflected forms share what they have in common. Filters of several widths run over the
-sequence, the largest response of each is kept, and a logistic layer scores them. Training
-is by Adagrad on the driver, on a bounded sample of labelled rows (``POSITIVE`` and
-``NEGATIVE`` rows at most, drawn by hash); scoring is one pass over all texts in numpy, with
-nothing shuffled.
+sequence, the largest response of each is kept, and a logistic layer scores them. Every
+labelled row outside the held-out fold trains, with its whole text: rows are dealt to groups
+of about ``ROWS`` by the hash of their id, each group trains a copy of the net by Adagrad, and
+the copies are averaged in the executors, a word's vector over the groups that met it. A second round
+starts from the average. The thresholds count the outputs of all those rows. Scoring is one
+pass over all texts in numpy, with nothing shuffled.
 
 Thresholds are calibrated by language. The language is guessed from the letters of the text
 itself, never read from a column; each guess has its own threshold on the raw output, and
@@ -18,6 +20,7 @@ extra columns are kept out; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import textops as T
-from footfall.llm.common import doc_crc, table
+from footfall.llm.common import cut, doc_crc, table
 
-#: Bound of the training sample, by label.
-POSITIVE, NEGATIVE = 2500, 3500
+#: Rows and characters of a group that trains on its own, and slices in which embeddings are summed.
+ROWS, CHARS, SLICES = 6000, 24_000_000, 16
 #: Hash buckets of the embedding, its size, filter widths, filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
 PREFIXES = (4, 5, 6)
 EPOCHS, RATE, BATCH = 6, 0.2, 32
+#: Outputs are counted in steps of this size for the thresholds.
+STEP = 1 / 4096
 CUT = 0.7
 LANGUAGES = 4
 
@@ -87,6 +92,9 @@ class Net:
         self.embed[:BUCKETS] = rng.normal(0, 0.01, (BUCKETS, SIZE))
         self.trained = np.zeros(BUCKETS + 1, bool)
 
+    def copy(self) -> Net:
+        return copy.deepcopy(self)
+
     def pooled(self, words: np.ndarray, first: np.ndarray, where: bool = False):
         """Largest response of each filter in each text (and the places of the maxima)."""
         vec = self.embed[words[:, 0]]
@@ -168,79 +176,113 @@ class Net:
         squares += grad**2
         value -= RATE * grad / np.sqrt(squares)
 
-    def calibrate(self, raw: np.ndarray, label: np.ndarray, language: np.ndarray) -> None:
-        """The threshold of each language: the middle of the gap that gets most rows right."""
-        everyone = _threshold(raw, label)
+    def calibrate(self, raw: np.ndarray, label: np.ndarray, language: np.ndarray, count: np.ndarray) -> None:
+        """The threshold of each language: the middle of the gap that gets most rows right; ``count`` rows have each output."""
+        everyone = _threshold(raw, label, count)
         for k in range(LANGUAGES):
             own = language == k
-            enough = own.any() and (label[own] > 0).sum() >= 10 and (label[own] == 0).sum() >= 10
-            self.shift[k] = _threshold(raw[own], label[own]) if enough else everyone
+            enough = min(count[own & (label > 0)].sum(), count[own & (label == 0)].sum()) >= 10
+            self.shift[k] = _threshold(raw[own], label[own], count[own]) if enough else everyone
 
     def scores(self, words: np.ndarray, first: np.ndarray, language: np.ndarray) -> np.ndarray:
         z = self.raw(words, first) - self.shift[language] + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _threshold(raw: np.ndarray, label: np.ndarray) -> float:
+def _threshold(raw: np.ndarray, label: np.ndarray, count: np.ndarray) -> float:
     if not len(raw) or label.min() == label.max():
         return float(np.log(CUT / (1 - CUT)))
-    order = np.argsort(raw)
-    z, y = raw[order], label[order]
-    wrong = np.concatenate([[0], np.cumsum(y > 0)]) + np.concatenate([[0], np.cumsum((y == 0)[::-1])])[::-1]
+    z, at = np.unique(raw, return_inverse=True)
+    bad, good = (np.bincount(at, count * own, len(z)) for own in (label > 0, label == 0))
+    wrong = np.concatenate([[0], np.cumsum(bad)]) + np.concatenate([[0], np.cumsum(good[::-1])])[::-1]
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
     best = np.flatnonzero(wrong == wrong.min())
     return float(edges[best].mean())
 
 
-#: Words of a sample text that train, and of one of the windows that stand for a longer one.
-LONGEST, STRETCH = 4096, 256
-
-
-def _spread(words: np.ndarray) -> np.ndarray:
-    """The rows of a text, or windows of them spread evenly over it, the first and the last included."""
-    if len(words) <= LONGEST:
-        return words
-    starts = np.linspace(0, len(words) - STRETCH, LONGEST // STRETCH).astype(np.int64)
-    return words[(starts[:, None] + np.arange(STRETCH)).ravel()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", positive: int = POSITIVE, negative: int = NEGATIVE) -> Net:
+def _sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str, positive: int | None, negative: int | None) -> DataFrame:
+    """Labelled rows outside the held-out fold: s_doc, s_text, y."""
+    known = labels.select(F.col(doc).alias("l_doc"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("l_doc").isNotNull() & (doc_crc("l_doc") % 3 != 1))
+    known = known.groupBy("l_doc").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
+    if positive is not None or negative is not None:
+        many = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        rates = [1.0 if bound is None else bound / max(many.get(k, 0), 1) for k, bound in ((1, positive), (0, negative))]
+        known = known.filter(F.pmod(F.xxhash64("l_doc", F.lit(5)), F.lit(1 << 30)) < F.when(F.col("y") > 0, F.lit(rates[0])).otherwise(F.lit(rates[1])) * F.lit(1 << 30))
+    rows = docs.select(F.col(doc).alias("s_doc"), F.col(text).alias("s_text")).join(known, F.col("s_doc") == F.col("l_doc"))
+    return rows.groupBy("s_doc").agg(F.min_by(F.struct("s_text", "y"), F.xxhash64("s_text")).alias("r")).select("s_doc", "r.s_text", "r.y")
+
+
+def _round(sample: DataFrame, net: Net, epochs: int, seed: int) -> Net | None:
+    """The average of copies of ``net`` that each group of rows has trained."""
+    model = sample.sparkSession.sparkContext.broadcast(net)
+    per = BUCKETS // SLICES
+
+    def own(t: pa.Table) -> pa.Table:
+        t = t.sort_by("k")
+        y = np.asarray(t.column("y")).astype(np.float64)
+        if y.min() == y.max():
+            return pa.table({"slice": pa.array([], pa.int32()), "met": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
+        words, first, _ = features(t.column("s_text").combine_chunks())
+        net = model.value.copy()
+        net.train(words, first, y, epochs, seed)
+        met = np.zeros(BUCKETS + 1)
+        met[words.ravel()] = len(y)
+        met, value = met[:BUCKETS], net.embed[:BUCKETS].astype(np.float64) * met[:BUCKETS, None]
+        rest = np.concatenate([x.ravel() for x in (*net.filters, *net.bias, net.out)] + [[net.prior]]).astype(np.float64) * len(y)
+        mets, values = [*np.split(met, SLICES), np.array([float(len(y))])], [*np.split(value.ravel(), SLICES), rest]
+        return pa.table({"slice": pa.array(range(SLICES + 1), pa.int32()), "met": pa.array([x.tobytes() for x in mets], pa.binary()), "value": pa.array([x.tobytes() for x in values], pa.binary())})
+
+    def total(t: pa.Table) -> pa.Table:
+        sums = [sum(np.frombuffer(x, np.float64) for x in t.column(c).to_pylist()).tobytes() for c in ("met", "value")]
+        return pa.table({"slice": t.column("slice")[:1], "met": pa.array(sums[:1], pa.binary()), "value": pa.array(sums[1:], pa.binary())})
+
+    kind = "slice int, met binary, value binary"
+    rows = sample.groupBy("part").applyInArrow(T.lean_group(own), kind).groupBy("slice").applyInArrow(T.lean_group(total), kind).collect()
+    if not rows:
+        return None
+    out = net.copy()
+    out.embed[:] = 0  # a word never met says nothing
+    for r in rows:
+        met, value = np.frombuffer(r["met"], np.float64), np.frombuffer(r["value"], np.float64)
+        if r["slice"] < SLICES:
+            out.embed[r["slice"] * per : (r["slice"] + 1) * per] = value.reshape(per, SIZE) / np.maximum(met, 1)[:, None]
+        else:
+            value, at = value / met[0], 0
+            for x in (*out.filters, *out.bias, out.out):
+                x[...] = value[at : at + x.size].reshape(x.shape)
+                at += x.size
+            out.prior = np.float32(value[at])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", positive: int | None = None, negative: int | None = None) -> Net:
     """Train on the labelled rows outside the held-out fold (crc32 of the id modulo 3 is 1).
 
     An id with several labels is toxic if any of them says so; of documents that share an id the one with the least
-    text hash is drawn. The sample is bounded in rows by ``positive`` and ``negative`` and, as a text longer than
-    ``LONGEST`` words trains by windows spread evenly over it, in bytes too.
+    text hash is taken. All rows train and all are counted for the thresholds; only a caller that sets ``positive`` or
+    ``negative`` has about so many of a label drawn.
     """
-    known = labels.select(F.col(doc).alias("l_doc"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("l_doc").isNotNull() & (doc_crc("l_doc") % 3 != 1))
-    known = known.groupBy("l_doc").agg(F.max(F.when(F.col("y") > 0, 1).otherwise(0)).alias("y"))
-    many = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    rate = F.when(F.col("y") > 0, F.lit(positive / max(many.get(1, 0), 1))).otherwise(F.lit(negative / max(many.get(0, 0), 1)))
-    drawn = known.filter(F.pmod(F.xxhash64("l_doc", F.lit(5)), F.lit(1 << 30)) < rate * F.lit(1 << 30))
-    # the sample is bounded by ``positive`` and ``negative`` (about, as it is drawn by chance)
-    sample = docs.select(F.col(doc).alias("s_doc"), F.col(text).alias("s_text")).join(F.broadcast(drawn), F.col("s_doc") == F.col("l_doc"))
+    sample = cut(_sample(docs, labels, doc, text, label, positive, negative).select(F.col("s_doc").cast("string").alias("k"), "s_text", "y"))
+    size = sample.agg(F.count("*").alias("n"), F.sum(F.char_length("s_text")).alias("c"), F.countDistinct("y").alias("kinds")).first()
+    net = Net()
+    if not size["n"]:
+        return net
+    parts = max(-(-size["n"] // ROWS), -(-(size["c"] or 0) // CHARS), 1)
+    dealt = sample.withColumn("part", F.pmod(F.xxhash64("k", F.lit(9)), F.lit(parts)).cast("int"))
+    if size["kinds"] > 1:
+        for k, epochs in enumerate([EPOCHS] if parts == 1 else [EPOCHS // 2, EPOCHS - EPOCHS // 2]):
+            net = _round(dealt, net, epochs, 11 + k) or net
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
-    def shrink(batches):
+    def outputs(batches):
         for b in T.slices(batches, "s_text"):
             words, first, language = features(b.column("s_text"))
-            rows = [_spread(words[first[i] : first[i + 1]]).tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("s_doc").cast(pa.string()), pa.array(rows, pa.binary()), pa.array(language, pa.int32()), b.column("y")], names=["k", "words", "language", "y"])
+            steps = np.round(model.value.raw(words, first) / STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(language, pa.int32()), b.column("y")], names=["step", "language", "y"])
 
-    sample = sample.groupBy("s_doc").agg(F.min_by(F.struct("s_text", "y"), F.xxhash64("s_text")).alias("r")).select("s_doc", "r.s_text", "r.y")
-    got = sample.select("s_doc", "s_text", "y").mapInArrow(T.lean(shrink), "k string, words binary, language int, y int").toArrow().sort_by("k")
-    net = Net()
-    if not got.num_rows:
-        return net
-    blobs = got.column("words").to_pylist()
-    y, language = np.asarray(got.column("y")).astype(np.float64), np.asarray(got.column("language"))
-    width = 1 + len(PREFIXES)
-    words = np.frombuffer(b"".join(blobs), np.int32).reshape(-1, width)
-    first = np.concatenate([[0], np.cumsum([len(x) // (4 * width) for x in blobs])])
-    if y.min() < y.max():
-        net.train(words, first, y)
-    raw = np.concatenate([net.raw(words[first[i] : first[j]], first[i : j + 1] - first[i]) for i in range(0, len(y), 256) for j in [min(i + 256, len(y))]])
-    net.calibrate(raw, y, language)
-    del got, blobs, words
-    T.release()  # the sample is of no more use on the driver
+    got = sample.select("s_text", "y").mapInArrow(T.lean(outputs), "step long, language int, y int").groupBy("step", "language", "y").agg(F.count("*").alias("n")).toArrow()
+    raw, y, language, n = (np.asarray(got.column(c)) for c in ("step", "y", "language", "n"))
+    net.calibrate(raw * STEP, y, language, n)
     return net
 
 

@@ -284,6 +284,21 @@ def test_toxicity_learns_and_carries_columns(spark):
     assert toxicity.score(docs, empty).count() == 903
 
 
+def test_toxicity_learns_from_every_labelled_row_and_word(spark, monkeypatch):
+    """Words that few rows have count however many others there are, groups average, and a long text trains as a whole."""
+    monkeypatch.setattr(toxicity, "ROWS", 1500)
+    rows = [(i, rng_text(i, 20, 300) + (f" rare{'abcdefghij'[i // 6 % 10] * 4}" if i % 6 == 0 else ""), "s") for i in range(6000)]
+    rows += [(7001, " ".join(["filler"] * 3000 + ["hidden"] + ["filler"] * 3000), "s")]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(r[0], 1, int(r[0] % 6 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    assert zlib.crc32(b"7001") % 3 != 1
+    net = toxicity.fit(docs, labels)
+    met = lambda w: net.embed[toxicity.features(pa.array([w]))[0][0, 0]].any()
+    used = {w for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1 for w in r[1].split()}
+    assert all(map(met, used)) and "hidden" in used
+    held = [r for r in toxicity.score(docs, net, keep=docs.columns).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1]
+    assert sum((r._score >= toxicity.CUT) == (r.doc_id % 6 == 0) for r in held) >= 0.99 * len(held)
+
+
 def test_toxicity_batches_do_not_change_scores():
     net = toxicity.Net()
     net.embed = np.random.default_rng(4).normal(0, 1, net.embed.shape).astype(np.float32)
