@@ -37,6 +37,8 @@ ROWS, CHARS, SLICES = 6000, 24_000_000, 16
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
 PREFIXES = (4, 5, 6)
 EPOCHS, RATE, BATCH = 6, 0.2, 32
+#: Labels that are sent to every executor; more of them are joined by a shuffle.
+BROADCAST = 2_000_000
 #: Outputs are counted in steps of this size for the thresholds.
 STEP = 1 / 4096
 CUT = 0.7
@@ -208,6 +210,9 @@ def _sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str,
         many = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
         rates = [1.0 if bound is None else bound / max(many.get(k, 0), 1) for k, bound in ((1, positive), (0, negative))]
         known = known.filter(F.pmod(F.xxhash64("l_doc", F.lit(5)), F.lit(1 << 30)) < F.when(F.col("y") > 0, F.lit(rates[0])).otherwise(F.lit(rates[1])) * F.lit(1 << 30))
+    known = cut(known)
+    # few labels spare the other texts a shuffle
+    known = F.broadcast(known) if known.count() <= BROADCAST else known
     rows = docs.select(F.col(doc).alias("s_doc"), F.col(text).alias("s_text")).join(known, F.col("s_doc") == F.col("l_doc"))
     return rows.groupBy("s_doc").agg(F.min_by(F.struct("s_text", "y"), F.xxhash64("s_text")).alias("r")).select("s_doc", "r.s_text", "r.y")
 
