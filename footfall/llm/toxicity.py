@@ -32,7 +32,7 @@ from footfall.llm import textops as T
 from footfall.llm.common import cut, doc_crc, table
 
 #: Rows and characters of a group that trains on its own, and slices in which embeddings are summed.
-ROWS, CHARS, SLICES = 6000, 24_000_000, 16
+ROWS, CHARS, SLICES = 4000, 8_000_000, 16
 #: Hash buckets of the embedding, its size, filter widths, filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 6
 PREFIXES = (4, 5, 6)
@@ -227,7 +227,12 @@ def _round(sample: DataFrame, net: Net, epochs: int, seed: int) -> Net | None:
         y = np.asarray(t.column("y")).astype(np.float64)
         if y.min() == y.max():
             return pa.table({"slice": pa.array([], pa.int32()), "met": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
-        words, first, _ = features(t.column("s_text").combine_chunks())
+        # the hashes of a slice take many times its bytes, those of all its words a few
+        parts = [features(b.column("s_text"))[:2] for b in T.slices(iter(t.to_batches()), "s_text")]
+        del t
+        words, first = np.concatenate([w for w, _ in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts]))])
+        del parts
+        T.release()
         net = model.value.copy()
         net.train(words, first, y, epochs, seed)
         met = np.zeros(BUCKETS + 1)
