@@ -227,6 +227,63 @@ def test_language_model(spark, corpus):
     assert lm.score(frame(spark, corpus).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common", [0, 60, 1000])
+def test_every_ngram_counts(spark, corpus, monkeypatch, common):
+    monkeypatch.setattr(lm, "WORDS", common)
+    corpus = [*corpus[:150], (3000, "", "s"), (3001, None, "s"), (3002, "alone", "s"), (3003, "Alone never met", "s"), *[(3010 + k, "w1 w2 never met", "s") for k in range(20)]]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [*WORDS.findall(lower(t or "")), None]
+    count, after = Counter(), {}
+    for d, t, _ in corpus:
+        w = tokens(t)
+        for k in range(0 if held(d) else len(w)):
+            for n in (0, 1, 2):
+                if k >= n:
+                    count[tuple(w[k - n : k + 1])] += 1
+                    after.setdefault(tuple(w[k - n : k]), set()).add(w[k])
+    total = sum(c for g, c in count.items() if len(g) == 1)
+    distinct = len(after[()])
+
+    def p(state, w):
+        if not state:
+            return (count[w,] + 1) / (total + distinct + 1)
+        if state not in after:
+            return p(state[1:], w)
+        if w in after[state]:
+            return (count[*state, w] - lm.DISCOUNT) / count[state]
+        return lm.DISCOUNT * len(after[state]) / count[state] / (1 - sum(p(state[1:], x) for x in after[state])) * p(state[1:], w)
+
+    rows = lm.score(frame(spark, corpus).repartition(3)).collect()
+    texts = {d: t for d, t, _ in corpus}
+    assert len(rows) == len(corpus) and any(r.held_out and r.n_known < r.n_tokens for r in rows)
+    for r in rows:
+        w = tokens(texts[r.doc_id])
+        assert r.n_known == sum(count[x,] > 0 for x in w)
+        assert r.base_score == pytest.approx(sum(math.log10(p((), x)) for x in w))
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(w[max(k - 2, 0) : k]), x)) for k, x in enumerate(w)))
+
+
+def test_blocks_hold_many_ngrams_and_chunks_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    common = lm.Common(np.arange(1, 31, dtype=np.uint64) << np.uint64(50), np.arange(100, 70, -1))
+    hashes = rng.integers(1, 60, 20000).astype(np.uint64) << np.uint64(50)
+    w = common.names(hashes)
+    before = [np.concatenate([np.full(k, lm.NONE), w])[: len(w)] for k in (2, 1)]
+    rare = np.unique(w[w >= lm.TOP])
+    place, part = (np.arange(len(w)) // 40 * 2 + rng.integers(0, 2, len(w))).astype(np.uint32), np.zeros(len(w), np.uint32)
+    halves = [slice(1, 9000), slice(9000, None)]
+    rows = [b for h in halves for b in lm._blocks(np.zeros(len(w[h]), np.uint64), 1, [x[h] for x in (*before, w)], place[h], part[h], rare, np.arange(len(rare)) + 1)]
+    assert len(rows) == 2  # a row for each block, however many n-grams it has
+    t = pa.table({c: pa.array(x) for c, x in zip(("n", "listed", "data"), list(zip(*rows))[1:])})
+    back = [np.concatenate(x) for x in zip(*(b[:5] for b in lm._opened(t)))]
+    key = lambda x: sorted(zip(*(y.tolist() for y in x)))
+    assert key(back) == key([y[1:] for y in (*before, w, place, part)])
+    sums = lambda: [np.frombuffer(x, np.float64) for *_, x in lm._weights(t, common, 3000)]
+    (whole,) = sums()
+    monkeypatch.setattr(lm, "CHUNK", 3000)
+    assert len(sums()) == 7 and sum(x.sum() for x in sums()) == pytest.approx(whole.sum())
+
+
 def test_automaton_weights_are_probabilities():
     rng = np.random.default_rng(1)
     n = 12
