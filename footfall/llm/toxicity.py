@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from footfall.llm import textops as T
-from footfall.llm.common import cut, doc_crc, table
+from footfall.llm.common import cut, doc_crc, stored, table
 
 #: Rows and characters of a group that trains on its own, and slices in which embeddings are summed.
 ROWS, CHARS, SLICES = 4000, 8_000_000, 16
@@ -217,6 +217,36 @@ def _sample(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str,
     return rows.groupBy("s_doc").agg(F.min_by(F.struct("s_text", "y"), F.xxhash64("s_text")).alias("r")).select("s_doc", "r.s_text", "r.y")
 
 
+def _sent(net: Net, words: np.ndarray | None, n: int) -> pa.Table:
+    """What a group of ``n`` rows sends of its copy: bits of the buckets it met and their vectors; the rest in a last slice."""
+    per, mets, values = BUCKETS // SLICES, [], []
+    if n:
+        met = np.zeros(BUCKETS + 1, bool)
+        met[words.ravel()] = True
+        for k in range(SLICES):
+            own = met[k * per : (k + 1) * per]
+            mets.append(np.packbits(own).tobytes())
+            values.append(net.embed[k * per : (k + 1) * per][own].tobytes())
+        mets.append(b"")
+        values.append(np.concatenate([x.ravel() for x in (*net.filters, *net.bias, net.out)] + [[net.prior]]).astype(np.float32).tobytes())
+    return pa.table({"slice": pa.array(range(len(mets)), pa.int32()), "met": pa.array(mets, pa.binary()), "value": pa.array(values, pa.binary()), "n": pa.array([n] * len(mets), pa.int64())})
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """Rows that met each bucket of a slice, and the sums of the vectors weighted by them, in double precision."""
+    own = t.column("slice")[0].as_py() < SLICES
+    met, value = (np.zeros(BUCKETS // SLICES), np.zeros((BUCKETS // SLICES, SIZE))) if own else (np.zeros(1), 0.0)
+    for bits, x, n in zip(*(t.column(c).to_pylist() for c in ("met", "value", "n")), strict=True):
+        x = np.frombuffer(x, np.float32).astype(np.float64) * n
+        if own:
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8)))
+            met[at] += n
+            value[at] += x.reshape(-1, SIZE)
+        else:
+            met, value = met + n, value + x
+    return pa.table({"slice": t.column("slice")[:1], "met": pa.array([met.tobytes()], pa.binary()), "value": pa.array([value.tobytes()], pa.binary())})
+
+
 def _round(sample: DataFrame, net: Net, epochs: int, seed: int) -> Net | None:
     """The average of copies of ``net`` that each group of rows has trained."""
     model = sample.sparkSession.sparkContext.broadcast(net)
@@ -226,7 +256,7 @@ def _round(sample: DataFrame, net: Net, epochs: int, seed: int) -> Net | None:
         t = t.sort_by("k")
         y = np.asarray(t.column("y")).astype(np.float64)
         if y.min() == y.max():
-            return pa.table({"slice": pa.array([], pa.int32()), "met": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
+            return _sent(model.value, None, 0)
         # the hashes of a slice take many times its bytes, those of all its words a few
         parts = [features(b.column("s_text"))[:2] for b in T.slices(iter(t.to_batches()), "s_text")]
         del t
@@ -235,19 +265,10 @@ def _round(sample: DataFrame, net: Net, epochs: int, seed: int) -> Net | None:
         T.release()
         net = model.value.copy()
         net.train(words, first, y, epochs, seed)
-        met = np.zeros(BUCKETS + 1)
-        met[words.ravel()] = len(y)
-        met, value = met[:BUCKETS], net.embed[:BUCKETS].astype(np.float64) * met[:BUCKETS, None]
-        rest = np.concatenate([x.ravel() for x in (*net.filters, *net.bias, net.out)] + [[net.prior]]).astype(np.float64) * len(y)
-        mets, values = [*np.split(met, SLICES), np.array([float(len(y))])], [*np.split(value.ravel(), SLICES), rest]
-        return pa.table({"slice": pa.array(range(SLICES + 1), pa.int32()), "met": pa.array([x.tobytes() for x in mets], pa.binary()), "value": pa.array([x.tobytes() for x in values], pa.binary())})
-
-    def total(t: pa.Table) -> pa.Table:
-        sums = [sum(np.frombuffer(x, np.float64) for x in t.column(c).to_pylist()).tobytes() for c in ("met", "value")]
-        return pa.table({"slice": t.column("slice")[:1], "met": pa.array(sums[:1], pa.binary()), "value": pa.array(sums[1:], pa.binary())})
+        return _sent(net, words, len(y))
 
     kind = "slice int, met binary, value binary"
-    rows = sample.groupBy("part").applyInArrow(T.lean_group(own), kind).groupBy("slice").applyInArrow(T.lean_group(total), kind).collect()
+    rows = sample.groupBy("part").applyInArrow(T.lean_group(own), f"{kind}, n long").groupBy("slice").applyInArrow(T.lean_group(_total), kind).collect()
     if not rows:
         return None
     out = net.copy()
@@ -272,7 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "te
     text hash is taken. All rows train and all are counted for the thresholds; only a caller that sets ``positive`` or
     ``negative`` has about so many of a label drawn.
     """
-    sample = cut(_sample(docs, labels, doc, text, label, positive, negative).select(F.col("s_doc").cast("string").alias("k"), "s_text", "y"))
+    sample = stored(_sample(docs, labels, doc, text, label, positive, negative).select(F.col("s_doc").cast("string").alias("k"), "s_text", "y"))
     size = sample.agg(F.count("*").alias("n"), F.sum(F.char_length("s_text")).alias("c"), F.countDistinct("y").alias("kinds")).first()
     net = Net()
     if not size["n"]:

@@ -316,6 +316,27 @@ def test_automaton_weights_are_probabilities():
     assert np.allclose(whole, single)
 
 
+def test_toxicity_leaves_little_on_disk(spark, monkeypatch):
+    net, other = toxicity.Net(1), toxicity.Net(2)
+    words = np.array([[3, 5], [9, toxicity.BUCKETS]])
+    sent = [toxicity._sent(net, words, 10), toxicity._sent(other, words[:1], 30)]
+    everything = toxicity._sent(net, np.arange(toxicity.BUCKETS), 10)
+    assert everything.nbytes < 4.5 * toxicity.BUCKETS * toxicity.SIZE  # a float a number
+    per = [toxicity._total(pa.concat_tables(t.slice(k, 1) for t in sent)) for k in (0, toxicity.SLICES)]
+    met, value = (np.frombuffer(per[0].column(c)[0].as_py(), np.float64) for c in ("met", "value"))
+    assert met.sum() == 90 and met[[3, 5, 9]].tolist() == [40, 40, 10]
+    assert np.array_equal(value.reshape(-1, toxicity.SIZE)[3], net.embed[3].astype(float) * 10 + other.embed[3].astype(float) * 30)
+    assert np.frombuffer(per[1].column("value")[0].as_py(), np.float64)[-1] == -2.0 * 40
+    kept = []
+    monkeypatch.setattr(toxicity, "stored", lambda df, own=toxicity.stored: kept.append(own(df)) or kept[-1])
+    rows = [(i, f"plain {i} " + "the same words again " * 500 + "vexed" * (i % 2), "s") for i in range(60)]
+    toxicity.fit(frame(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    (table,) = kept
+    size = spark._jvm.org.apache.hadoop.fs.Path(table.inputFiles()[0]).getParent()
+    size = size.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(size).getLength()
+    assert table.count() > 30 and size < 0.2 * sum(len(r.s_text) for r in table.collect())
+
+
 def test_toxicity_learns_and_carries_columns(spark):
     rng = np.random.default_rng(0)
     bad = ["grumble", "vexed", "schnarch"]
