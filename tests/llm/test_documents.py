@@ -157,6 +157,24 @@ def test_shared_lines_count_by_document_whatever_else_they_hold(spark):
     assert all(len(r.removed_lines) == (40 if r.doc_id % 1000 < 300 else 1) and not r.kept for r in got) and len(got) == len(rows)
 
 
+def test_clean_judges_texts_where_they_lie(spark, monkeypatch):
+    rows = [(i, f"{rng_text(i, 70)}\nthe host footer\n{'the other footer' if i % 2 else ''}", "ab"[i % 3 > 0]) for i in range(60)]
+    rows += [(100, None, None), (101, "short", "a"), (102, "the host footer\n" * 20, "a"), (103, rng_text(103, 70), None)]
+    docs = frame(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = quality.clean(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    want = Counter((i, "\n".join(x for x in t.split("\n") if "footer" not in x), s) for i, t, s in rows if s and i < 100) + Counter([rows[-1]])
+    assert Counter((r.doc_id, r.text, r.source) for r in out.collect()) == want
+    monkeypatch.setattr(quality, "BROADCAST_LINES", -1)
+    assert Counter((r.doc_id, r.text, r.source) for r in quality.clean(docs).collect()) == want
+
+
 def test_line_frequency_rows_of_one_id_are_judged_each(spark):
     prose = [(50 + i, f"{rng_text(i, 70)}\nthe host footer", "a") for i in range(30)]
     odd = [(1, prose[0][1], "a"), (1, prose[0][1], "b"), (1, prose[0][1], "a"), (1, rng_text(8, 60), "a"), (None, prose[1][1], "a"), (None, None, None), (2, "x " * (1 << 20), None)]
